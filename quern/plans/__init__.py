@@ -1,0 +1,5 @@
+"""Named queries over the tables of a folder, by topic."""
+
+from quern.plans import pages
+
+REGISTRY = (pages,)

@@ -1,0 +1,4 @@
+"""Queries over crawled pages."""
+
+QUERIES = {}
+SQL = {}
