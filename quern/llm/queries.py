@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import lines, near, packing, pii, quality, sharding, toxic
+from quern.llm import lines, lm, near, packing, pii, quality, sharding, toxic
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select("doc_id", "toxic_score", "toxic")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents")).select("doc_id", "lm_words", "perplexity")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -39,7 +43,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_toxicity, op6_pii, op7_line_dedup, op8_near_dedup, op9_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_toxicity, op5_lm_scoring, op6_pii, op7_line_dedup, op8_near_dedup, op9_sharding, op10_packing)}
 
 SQL = {
     "op7_line_dedup": """
