@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import lines, lm, near, packing, pii, quality, sharding, toxic
+from quern.llm import bpe, lines, lm, near, packing, pii, quality, sharding, toxic
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and whether they decode to its text."""
+    ranks = bpe.RankMap(bpe.load_ranks())
+    coded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
+    return coded.select("doc_id", "ids", F.size("ids").alias("n_tokens"), (bpe.decode(F.col("ids"), ranks) == F.col("text")).alias("round_trip"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select("doc_id", "quality_score", "quality_keep")
 
@@ -43,7 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_toxicity, op5_lm_scoring, op6_pii, op7_line_dedup, op8_near_dedup, op9_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_toxicity, op5_lm_scoring, op6_pii, op7_line_dedup, op8_near_dedup, op9_sharding, op10_packing)}
 
 SQL = {
     "op7_line_dedup": """
