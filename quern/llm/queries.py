@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, lines, lm, near, packing, pii, quality, sharding, toxic
+from quern.llm import ann, bpe, lines, lm, near, packing, pii, quality, sharding, toxic
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select("doc_id", "toxic_score", "toxic")
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(read(spark, sf_dir, "embeddings"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(read(spark, sf_dir, "documents")).select("doc_id", "lm_words", "perplexity")
 
@@ -51,7 +55,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_toxicity, op5_lm_scoring, op6_pii, op7_line_dedup, op8_near_dedup, op9_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_toxicity, op4_ann, op5_lm_scoring, op6_pii, op7_line_dedup, op8_near_dedup, op9_sharding, op10_packing)}
 
 SQL = {
     "op7_line_dedup": """
