@@ -1,5 +1,5 @@
 """Named queries over the tables of a folder, by topic."""
 
-from quern.plans import pages
+from quern.plans import web
 
-REGISTRY = (pages,)
+REGISTRY = (web,)

@@ -1,0 +1 @@
+"""Where rows come from: fetching, robots rules, sitemaps, stores, configuration."""
