@@ -1,5 +1,5 @@
 """Named queries over the tables of a folder, by topic."""
 
-from quern.plans import web
+from quern.plans import history, texts, web
 
-REGISTRY = (web,)
+REGISTRY = (web, texts, history)

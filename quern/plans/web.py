@@ -10,7 +10,8 @@ from quern.functions import hashing, html, patterns, text, urls
 from quern.operators import frontier, gate, links, publish
 from quern.sources import crawl
 
-U = F.col("url")
+def u():
+    return F.col("url")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,43 +45,43 @@ TITLE = f"coalesce(nullif({cleaned('''regexp_extract(html, '(?is)<title[^>]*>([^
 DEPTH = "len(list_filter(string_split({p}, '/'), lambda x: x <> '')) - 1"
 
 
-def depth(url=U):
-    return F.size(F.filter(F.split(urls.path(url), "/"), lambda x: x != "")) - 1
+def depth():
+    return F.size(F.filter(F.split(urls.path(u()), "/"), lambda x: x != "")) - 1
 
 
 def page_documents(spark, sf_dir):
     """URL form, text, title, sizes and the gate's verdict of every page."""
-    docs = pages(spark, sf_dir).select("page_id", "url", urls.normalize(U).alias("url_key"), html.title(F.col("html")).alias("title"), html.text(F.col("html")).alias("text"))
+    docs = pages(spark, sf_dir).select("page_id", "url", urls.normalize(u()).alias("url_key"), html.title(F.col("html")).alias("title"), html.text(F.col("html")).alias("text"))
     out = gate.gated(docs, "page_id", "url", "text")
     return out.select("page_id", "url_key", "title", F.length("text").cast("long").alias("n_chars"), text.word_count(F.col("text")).alias("n_words"), "reason", "duplicate_of")
 
 
 def url_normalize(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", urls.normalize(U).alias("url_key"))
+    return pages(spark, sf_dir).select("page_id", urls.normalize(u()).alias("url_key"))
 
 
 def url_parts(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", urls.scheme(U).alias("scheme"), urls.host(U).alias("host"), urls.registered_domain(U).alias("registered_domain"), urls.extension(U).alias("extension"))
+    return pages(spark, sf_dir).select("page_id", urls.scheme(u()).alias("scheme"), urls.host(u()).alias("host"), urls.registered_domain(u()).alias("registered_domain"), urls.extension(u()).alias("extension"))
 
 
 def url_collisions(spark, sf_dir):
     """URLs of one normal form."""
-    p = pages(spark, sf_dir).select("page_id", urls.normalize(U).alias("url_key"))
+    p = pages(spark, sf_dir).select("page_id", urls.normalize(u()).alias("url_key"))
     return p.groupBy("url_key").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_id")).where("n > 1")
 
 
 def output_paths(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", urls.output_path(U).alias("path"))
+    return pages(spark, sf_dir).select("page_id", urls.output_path(u()).alias("path"))
 
 
 def link_filter_reason(spark, sf_dir):
-    why = links.gate(U, depth(), ["example.com", "example.org"], True, ["/en", "/de", "/fr"], ["/en/*", "/de/*"], ["*.html"], max_depth=1)
+    why = links.gate(u(), depth(), ["example.com", "example.org"], True, ["/en", "/de", "/fr"], ["/en/*", "/de/*"], ["*.html"], max_depth=1)
     return pages(spark, sf_dir).select("page_id", why.alias("reason"))
 
 
 def pattern_rules(spark, sf_dir):
     inc, exc = ["/en/*", r"^https://.*/(de|fr)/\d+$"], ["*utm_source*", "spam-farm"]
-    return pages(spark, sf_dir).select("page_id", patterns.included(U, inc, exc).alias("included"), patterns.reason(U, inc, exc).alias("why"))
+    return pages(spark, sf_dir).select("page_id", patterns.included(u(), inc, exc).alias("included"), patterns.reason(u(), inc, exc).alias("why"))
 
 
 def links_extract(spark, sf_dir):
@@ -104,7 +105,7 @@ def html_text(spark, sf_dir):
 
 
 def _with_head(p: DataFrame) -> DataFrame:
-    head = F.concat(F.lit('<html lang="en-US"><head><meta name="description" content="About &amp; around '), F.col("page_id"), F.lit('"><meta content="Crawl Corp" property="og:site_name"><meta name="keywords" content="a, b,, c'), F.col("page_id"), F.lit('"><link rel="canonical" href="'), U, F.lit('"></head><h2 id="s'), F.col("page_id"), F.lit('">Part '), F.col("page_id"), F.lit("</h2>"))
+    head = F.concat(F.lit('<html lang="en-US"><head><meta name="description" content="About &amp; around '), F.col("page_id"), F.lit('"><meta content="Crawl Corp" property="og:site_name"><meta name="keywords" content="a, b,, c'), F.col("page_id"), F.lit('"><link rel="canonical" href="'), u(), F.lit('"></head><h2 id="s'), F.col("page_id"), F.lit('">Part '), F.col("page_id"), F.lit("</h2>"))
     return p.withColumn("html", F.concat(head, F.col("html")))
 
 
@@ -122,11 +123,11 @@ def headings_outline(spark, sf_dir):
 
 
 def frontier_priority(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", frontier.priority(U, depth()).alias("priority"))
+    return pages(spark, sf_dir).select("page_id", frontier.priority(u(), depth()).alias("priority"))
 
 
 def frontier_topk(spark, sf_dir):
-    p = pages(spark, sf_dir).select("page_id", urls.normalize(U).alias("url_key"), frontier.priority(U, depth()).alias("priority"), F.lit("pending").alias("status"), F.col("page_id").alias("discovered_at"))
+    p = pages(spark, sf_dir).select("page_id", urls.normalize(u()).alias("url_key"), frontier.priority(u(), depth()).alias("priority"), F.lit("pending").alias("status"), F.col("page_id").alias("discovered_at"))
     return frontier.top(p, 50).select("page_id", "priority")
 
 
@@ -138,11 +139,11 @@ def frontier_bfs(spark, sf_dir):
 
 
 def breadcrumbs(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", publish.breadcrumbs(U).alias("breadcrumbs"))
+    return pages(spark, sf_dir).select("page_id", publish.breadcrumbs(u()).alias("breadcrumbs"))
 
 
 def prev_next(spark, sf_dir):
-    p = pages(spark, sf_dir).withColumns({"depth": depth(), "host": urls.host(U)})
+    p = pages(spark, sf_dir).withColumns({"depth": depth(), "host": urls.host(u())})
     return publish.neighbours(p, "depth", "url", "page_id", within="host").select("page_id", "prev_url", "next_url")
 
 
@@ -151,16 +152,16 @@ def index_sections(spark, sf_dir):
 
 
 def domain_pages(spark, sf_dir):
-    return pages(spark, sf_dir).groupBy(urls.registered_domain(U).alias("domain")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("html")).alias("chars"), F.countDistinct(urls.host(U)).alias("hosts"))
+    return pages(spark, sf_dir).groupBy(urls.registered_domain(u()).alias("domain")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("html")).alias("chars"), F.countDistinct(urls.host(u())).alias("hosts"))
 
 
 def doc_id_xxh64(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", hashing.doc_id(urls.normalize(U)).alias("doc_id"))
+    return pages(spark, sf_dir).select("page_id", hashing.doc_id(urls.normalize(u())).alias("doc_id"))
 
 
 def link_rewrite(spark, sf_dir):
     """Markdown that names the next page of the host, its link made relative."""
-    w = W.Window.partitionBy(urls.authority(U)).orderBy("page_id")
+    w = W.Window.partitionBy(urls.authority(u())).orderBy("page_id")
     d = pages(spark, sf_dir).select("page_id", "url", F.lead("url").over(w).alias("next"))
     d = d.withColumn("markdown", F.concat(F.lit("See [next]("), F.coalesce("next", F.lit("mailto:x@example.com")), F.lit(") and [top](#top).")))
     return publish.rewrite_links(d, "page_id").select("page_id", "markdown")
