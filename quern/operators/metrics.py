@@ -45,3 +45,9 @@ def circuit(log: DataFrame, key: str, order: list[str], success: str = "success"
     inside = W.Window.partitionBy(key, "island").orderBy(*order).rowsBetween(W.Window.unboundedPreceding, 0)
     n = F.sum((~F.col(success)).cast("int")).over(inside)
     return out.withColumn("failures_in_a_row", n).withColumn("opens", (F.col("failures_in_a_row") == threshold) & ~F.col(success)).drop("island")
+
+
+def scheduler(requests: DataFrame, circuits: DataFrame) -> DataFrame:
+    """One row: fetches under way, domains tracked, circuits open; of requests (domain, active) and circuits (domain, state)."""
+    a = requests.agg(F.count_if("active").alias("active_requests"), F.countDistinct("domain").alias("tracked_domains"))
+    return a.crossJoin(circuits.agg(F.count_if(F.col("state") == "open").alias("open_circuits")))

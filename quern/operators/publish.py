@@ -108,6 +108,24 @@ def single_page(docs: DataFrame) -> DataFrame:
     return docs.select("depth", "url", toc.alias("toc"), body.alias("body")).orderBy("depth", "url")
 
 
+def write_single_page(docs: DataFrame, path: str, title: str = "Contents", toc: bool = True) -> None:
+    """One big Markdown file, streamed row by row; the contents come first."""
+    import os
+
+    rows = single_page(docs).persist()
+    try:
+        part = f"{path}.part"
+        with open(part, "w", encoding="utf-8") as f:
+            f.write(f"# {title}\n\n")
+            if toc:
+                f.writelines(r.toc + "\n" for r in rows.select("toc").toLocalIterator())
+                f.write("\n---\n\n")
+            f.writelines(r.body + "\n" for r in rows.select("body").toLocalIterator())
+        os.replace(part, path)
+    finally:
+        rows.unpersist()
+
+
 def pages(docs: DataFrame, deletion: str = "tombstone") -> DataFrame:
     """(path, action, content) of every file: a page, a tombstone, a redirect or a removal."""
     url = F.col("url")

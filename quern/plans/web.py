@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from quern.functions import hashing, html, patterns, text, urls
+from quern.functions import hashing, html, markdown, patterns, text, urls
 from quern.operators import frontier, gate, links, publish
 from quern.sources import crawl
 
@@ -172,7 +172,27 @@ def publish_files(spark, sf_dir):
     return publish.pages(d).select("path", "action", F.length("content").alias("size"))
 
 
-QUERIES = {f.__name__: f for f in (page_documents, url_normalize, url_parts, url_collisions, output_paths, link_filter_reason, pattern_rules, links_extract, link_summary, link_targets, html_text, page_metadata, headings_outline, frontier_priority, frontier_topk, frontier_bfs, breadcrumbs, prev_next, index_sections, domain_pages, doc_id_xxh64, link_rewrite, publish_files)}
+def _markdown(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", markdown.markdown(F.col("html")).alias("markdown"))
+
+
+def html_markdown(spark, sf_dir):
+    return _markdown(spark, sf_dir).select("page_id", F.md5("markdown").alias("markdown_md5"), F.length("markdown").cast("long").alias("n_chars"))
+
+
+def markdown_blocks(spark, sf_dir):
+    """Blocks that pruning keeps, by page."""
+    b = markdown.pruned(markdown.blocks(_markdown(spark, sf_dir), "page_id"))
+    return b.groupBy("page_id").agg(F.count(F.lit(1)).alias("blocks"), F.sum("words").alias("words"))
+
+
+def block_bm25(spark, sf_dir):
+    """BM25 of every block for a query; frequencies over all blocks of all pages."""
+    b = markdown.bm25(markdown.blocks(_markdown(spark, sf_dir), "page_id"), "page_id", "the en reaux")
+    return b.where("score > 0").select("page_id", F.col("block").cast("long").alias("block"), F.round("score", 6).alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (html_markdown, markdown_blocks, block_bm25, page_documents, url_normalize, url_parts, url_collisions, output_paths, link_filter_reason, pattern_rules, links_extract, link_summary, link_targets, html_text, page_metadata, headings_outline, frontier_priority, frontier_topk, frontier_bfs, breadcrumbs, prev_next, index_sections, domain_pages, doc_id_xxh64, link_rewrite, publish_files)}
 
 SUFFIXES = ", ".join(f"'{s}'" for s in urls.SUFFIXES)
 REGISTERED = f"""CASE WHEN regexp_extract({HOST}, '([^.]*\\.[^.]*)$', 1) = '' THEN {HOST} WHEN regexp_extract({HOST}, '([^.]*\\.[^.]*)$', 1) IN ({SUFFIXES}) THEN regexp_extract({HOST}, '((?:[^.]*\\.)?[^.]*\\.[^.]*)$', 1) ELSE regexp_extract({HOST}, '([^.]*\\.[^.]*)$', 1) END"""
@@ -189,7 +209,27 @@ LINKS = f"""
         FROM firsts WHERE n = 1)"""
 TEXT_DOCS = f"SELECT page_id, url, {HTML_TEXT} AS text FROM pages"
 
+MARKDOWN = "html"
+for pattern, to in markdown.chain():
+    quoted = to.replace("$1", "\\1").replace("$2", "\\2").replace("\n", "' || chr(10) || '")
+    MARKDOWN = f"regexp_replace({MARKDOWN}, '{pattern.replace(chr(39), chr(39) * 2)}', '{quoted}', 'g')"
+for entity, char in html.ENTITIES:
+    MARKDOWN = f"replace({MARKDOWN}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+BLOCKS = f"""
+    m AS (SELECT page_id, {MARKDOWN} AS markdown FROM pages),
+    parts AS (SELECT page_id, unnest(regexp_split_to_array(markdown, '\\n\\n+')) AS content, generate_subscripts(regexp_split_to_array(markdown, '\\n\\n+'), 1) - 1 AS block FROM m),
+    blocks AS (SELECT page_id, block, content, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS w,
+        coalesce(list_sum(list_transform(regexp_extract_all(content, '\\[([^\\]]*)\\]\\([^)]*\\)', 1), lambda x: length(x))), 0) / length(content) AS link_share FROM parts WHERE content <> '')"""
+TERMS = ("en", "reaux", "the")
+SCORE = " + ".join(f"ln(1 + (n - df_{t} + 0.5) / (df_{t} + 0.5)) * tf_{t} * 2.5 / (tf_{t} + 1.5 * (0.25 + 0.75 * len(w) / mean))" for t in TERMS)
+
 SQL = {
+    "html_markdown": f"WITH {BLOCKS} SELECT page_id, md5(markdown) AS markdown_md5, length(markdown) AS n_chars FROM m",
+    "markdown_blocks": f"WITH {BLOCKS} SELECT page_id, count(*) AS blocks, CAST(sum(len(w)) AS BIGINT) AS words FROM blocks WHERE starts_with(content, '#') OR (len(w) >= 5 AND link_share <= 0.5) GROUP BY page_id",
+    "block_bm25": f"""
+        WITH {BLOCKS}, t AS (SELECT *, {", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf_{t}" for t in TERMS)} FROM blocks),
+        g AS (SELECT count(*) AS n, avg(len(w)) AS mean, {", ".join(f"count_if(tf_{t} > 0) AS df_{t}" for t in TERMS)} FROM t)
+        SELECT page_id, block, round({SCORE}, 6) AS score FROM t, g WHERE {SCORE} > 0""",
     "page_documents": f"""
         WITH n AS ({NORMAL}), t AS (SELECT page_id, url, url_key, {TITLE} AS title, {HTML_TEXT} AS text FROM n),
         own AS (SELECT *, {WORDS.format(t='text')} AS n_words, CASE WHEN regexp_matches(url, '(?i){"|".join(gate.BLOCKED_URLS)}') THEN 'blocked_pattern' WHEN length(text) < 100 THEN 'too_short' WHEN {WORDS.format(t='text')} < 10 THEN 'low_word_count' END AS own FROM t),

@@ -34,8 +34,8 @@ TABLES: dict[str, tuple[list[str], T.StructType]] = {
 class Store:
     """Tables as snapshots in folders; a small pointer file names each table's newest, so that readers see whole ones."""
 
-    def __init__(self, spark: SparkSession, root: str, read_only: bool = False):
-        self.spark, self.root, self.read_only = spark, root.rstrip("/"), read_only
+    def __init__(self, spark: SparkSession, root: str, read_only: bool = False, by_site: bool = False):
+        self.spark, self.root, self.read_only, self.by_site = spark, root.rstrip("/"), read_only, by_site
         jvm = spark.sparkContext._jvm
         self.path = jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -51,14 +51,15 @@ class Store:
     def read(self, table: str) -> DataFrame:
         key, kind = TABLES[table]
         at = self._snapshot(table)
-        return self.spark.read.schema(kind).parquet(f"{self.root}/{table}/{at}") if at else self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(kind).parquet(f"{self.root}/{table}/{at}").select(*kind.fieldNames()) if at else self.spark.createDataFrame([], kind)
 
-    def write(self, table: str, rows: DataFrame, partition: Iterable[str] = ()) -> None:
-        """A new snapshot; the pointer moves to it once it is whole, then the old one goes."""
+    def write(self, table: str, rows: DataFrame) -> None:
+        """A new snapshot, a folder a site if the store is laid out so; the pointer moves to it once it is whole, then the old one goes."""
         if self.read_only:
             raise PermissionError("the store is open for reading")
         old, name = self._snapshot(table), uuid.uuid4().hex
-        rows.select(*[f.name for f in TABLES[table][1]]).write.parquet(f"{self.root}/{table}/{name}")
+        writer = rows.select(*[f.name for f in TABLES[table][1]]).write
+        (writer.partitionBy("site_id") if self.by_site else writer).parquet(f"{self.root}/{table}/{name}")
         out = self.fs.create(self._pointer(table), True)
         out.write(bytearray(name.encode()))
         out.close()
@@ -154,7 +155,7 @@ class Store:
 def open_store(spark: SparkSession, config: dict) -> Store:
     """The store that a configuration names; where it can't be had, the fallback folder, unless it must not fall back."""
     try:
-        store = Store(spark, config["root"], config.get("read_only", False))
+        store = Store(spark, config["root"], config.get("read_only", False), config.get("by_site", False))
         if not config.get("read_only"):
             store.fs.mkdirs(store.path(store.root))
         return store

@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quern.functions import html
+from quern.functions import html, markdown
 from quern.operators import changes, chunking, frontier, gate, history, job, links, metrics, publish
 from quern.sources import config, crawl, fetch, robots, sitemap
 from quern.sources.store import open_store
@@ -217,3 +217,34 @@ def test_history(spark):
     new = spark.createDataFrame([(2, "B", 1), (2, "C", 2), (3, "c", 1)], "k int, v string, n int")
     got = history.upsert(old, new, ["k"], ["-n"])
     assert {(r.k, r.v) for r in got.collect()} == {(1, "a"), (2, "C"), (3, "c")}
+
+
+def test_markdown_blocks(spark):
+    page = '<nav><a href="/x">x</a></nav><h2>Cats</h2><p>The <b>cat</b> sat &amp; slept on the mat</p><ul><li><a href="/a">only a link here in this one</a></li></ul><p>dog</p>'
+    df = spark.createDataFrame([(1, page)], "page_id int, html string").withColumn("markdown", markdown.markdown(F.col("html")))
+    assert df.first().markdown == "## Cats\n\nThe **cat** sat & slept on the mat\n\n- [only a link here in this one](/a)\n\ndog"
+    parts = markdown.blocks(df, "page_id")
+    assert [r.block for r in markdown.pruned(parts).orderBy("block").collect()] == [0, 1]
+    assert markdown.joined(markdown.pruned(parts), "page_id").first().markdown == "## Cats\n\nThe **cat** sat & slept on the mat"
+    scores = [r.score for r in markdown.bm25(parts, "page_id", "dog").orderBy("block").collect()]
+    assert scores[:3] == [0, 0, 0] and scores[3] > 0
+    assert spark.range(1).select(markdown.chosen(F.lit(" "), F.lit("b"))).first()[0] == "b"
+
+
+def test_store_by_site(spark, tmp_path):
+    store = open_store(spark, {"root": str(tmp_path / "s"), "by_site": True})
+    store.save("pages", [{"page_id": "1", "site_id": "a", "is_tombstone": False}, {"page_id": "2", "site_id": "b", "is_tombstone": False}])
+    store.save("pages", [{"page_id": "2", "site_id": "b", "is_tombstone": True}])
+    assert store.count_pages("a") == 1 and store.count_pages("b") == 0 and store.read("pages").columns[0] == "page_id"
+
+
+def test_single_page_file(spark, tmp_path):
+    docs = spark.createDataFrame([("https://e.com/b", "B", "two", 1), ("https://e.com/", "A", "one", 0)], "url string, title string, markdown string, depth int")
+    publish.write_single_page(docs, str(tmp_path / "all.md"))
+    got = (tmp_path / "all.md").read_text()
+    assert got.index("- [A](#a)") < got.index("  - [B](#b)") < got.index("## A") < got.index("## B")
+
+
+def test_scheduler_stats(spark):
+    r = metrics.scheduler(spark.createDataFrame([("d", True), ("e", False)], "domain string, active boolean"), spark.createDataFrame([("d", "open")], "domain string, state string")).first()
+    assert tuple(r) == (1, 2, 1)
