@@ -124,3 +124,16 @@ def ragged(column) -> tuple[np.ndarray, np.ndarray]:
 def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+_kept: dict[str, tuple[object, object]] = {}
+
+
+def once(kind: str, key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept by a Python worker from task to task until another key of this kind comes.
+
+    Functions sent to workers are copied with the globals they name; this one lives in a module, so it isn't."""
+    if kind not in _kept or _kept[kind][0] != key:
+        _kept.pop(kind, None)
+        _kept[kind] = key, make()
+    return _kept[kind][1]

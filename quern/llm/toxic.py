@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
 from math import exp, log
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh, put, words
+from quern.llm.common import fresh, once, posix, put, shared_folder, words
 from quern.llm.quality import labelled_sample
 
 #: Letters of a context and the one after it; contexts begin at the word's start, marked "^", and "$" ends it.
@@ -23,76 +26,79 @@ SHARE = 0.02
 #: One labelled document of so many is held out from the models and sets the threshold.
 HELD_OUT = 4
 DISCOUNT = 0.75
+#: Words whose scores a worker remembers at once.
+MEMORY = 300_000
+_WORD = re.compile(r"[^\W_]+")
 
 
-def discount(c: float) -> float:
+def discounts(c: np.ndarray) -> np.ndarray:
     """Modified Kneser-Ney style, by count; what a class saw in one document alone says nothing of it."""
-    return 1.0 if c == 1 else 1.25 if c == 2 else 1.5 if c else 0.0
+    return np.select([c == 0, c == 1, c == 2], [0.0, 1.0, 1.25], 1.5)
+
+
+def _cut(grams: pa.Array, first: int, last: int | None) -> pa.Array:
+    return pc.utf8_slice_codeunits(grams, first, last) if last is not None else pc.utf8_slice_codeunits(grams, first)
+
+
+def _codes(strings: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    d = pc.dictionary_encode(strings)
+    return d.indices.to_numpy(zero_copy_only=False), d.dictionary
+
+
+def shared_model(grams: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Grams of up to ORDER - 1 letters and the Kneser-Ney probabilities of their last ones, from both classes' continuation counts."""
+    code, seen = _codes(_cut(grams.filter(pc.greater(pc.utf8_length(grams), 1)), 1, None))
+    n = np.bincount(code, minlength=len(seen)).astype(float)  # distinct letters before each
+    size = pc.utf8_length(seen).to_numpy(zero_copy_only=False)
+    context, contexts = _codes(_cut(seen, 0, -1))
+    total, types = np.bincount(context, n, len(contexts)), np.bincount(context, minlength=len(contexts))
+    lower = pc.index_in(_cut(seen, 1, None), value_set=seen).fill_null(-1).to_numpy(zero_copy_only=False)
+    p = np.zeros(len(seen))
+    for length in range(1, ORDER):
+        at = size == length
+        below = p[lower[at]] if length > 1 else 1.0 / ((size == 1).sum() + 1)
+        p[at] = (np.maximum(n[at] - DISCOUNT, 0) + DISCOUNT * types[context[at]] * below) / total[context[at]]
+    return seen, p
+
+
+def class_models(grams: pa.Array, t: np.ndarray, o: np.ndarray) -> dict:
+    """Whole grams, of ORDER letters or from a word's start, with both classes' probabilities, and the contexts' backoff weights."""
+    seen, shared = shared_model(grams)
+    whole = pc.and_(pc.greater(pc.utf8_length(grams), 1), pc.or_(pc.equal(pc.utf8_length(grams), ORDER), pc.starts_with(grams, "^")))
+    own, at = grams.filter(whole), whole.to_numpy(zero_copy_only=False)
+    code, contexts = _codes(_cut(own, 0, -1))
+    base = shared[pc.index_in(_cut(own, 1, None), value_set=seen).to_numpy(zero_copy_only=False)] if len(own) else np.zeros(0)
+    out = {"gram": own, "context": contexts, "base": base, "of": code}
+    for name, count in (("toxic", t[at].astype(float)), ("ordinary", o[at].astype(float))):
+        total, mass = np.bincount(code, count, len(contexts)), np.bincount(code, discounts(count), len(contexts))
+        weight = np.where(total > 0, mass / np.maximum(total, 1), 1.0)
+        out[name] = np.where(total[code] > 0, (count - discounts(count)) / np.maximum(total[code], 1), 0.0) + weight[code] * base
+        out[f"{name}_weight"] = weight
+    return out
 
 
-#: Words, and n-grams, whose scores a worker remembers at once.
-MEMORY = 300_000
-_here: dict[int, Models] = {}  # a worker's models, by broadcast
-_WORD = re.compile(r"[^\W_]+")
+class Models:
+    """log P(letter | context, toxic) - log P(letter | context, ordinary): by gram where it is known, else by its context.
 
+    A letter that neither class has seen after a known context has the shared model's probability times each
+    class's backoff weight, so the shared part falls out of the ratio; after an unknown one nothing is left."""
 
-class Models:
-    """Two models P(letter | context), toxic and ordinary: discounted class counts, interpolated with shared Kneser-Ney ones."""
-
-    def __init__(self, counts: dict[str, tuple[int, int]], letters: int):
-        self.letters = max(1, letters)
-        self.counts = counts  # n-gram of 1 to ORDER letters: toxic, ordinary
-        totals: dict[str, list[float]] = {}  # context: count and discounts of each class
-        shared: dict[str, int] = {}  # n-gram: distinct letters before it
-        for gram, (t, o) in counts.items():
-            x = totals.setdefault(gram[:-1], [0, 0, 0, 0])
-            x[0] += t
-            x[1] += o
-            x[2] += discount(t)
-            x[3] += discount(o)
-            if len(gram) > 1:
-                shared[gram[1:]] = shared.get(gram[1:], 0) + 1
-        self.totals, self.shared = totals, shared
-        self.shared_totals: dict[str, list[float]] = {}
-        for gram, n in shared.items():
-            x = self.shared_totals.setdefault(gram[:-1], [0, 0])
-            x[0] += n
-            x[1] += 1
-        self.known: dict[str, float] = {}
-        self.steps: dict[str, float] = {}
-
-    def backoff(self, gram: str) -> float:
-        """Kneser-Ney probability of the last letter from both classes' continuation counts."""
-        p = 1.0 / (self.letters + 1)
-        for k in range(len(gram) - 1, -1, -1):
-            if (x := self.shared_totals.get(gram[k:-1])) is None:
-                continue
-            p = (max(self.shared.get(gram[k:], 0) - DISCOUNT, 0.0) + DISCOUNT * x[1] * p) / x[0]
-        return p
-
-    def step(self, gram: str) -> float:
-        """log P(letter | context, toxic) - log P(letter | context, ordinary) of an n-gram's last letter."""
-        p = q = self.backoff(gram[1:])
-        for k in range(len(gram) - 2, -1, -1):  # contexts from the shortest up
-            if (x := self.totals.get(gram[k:-1])) is None:
-                break
-            t, o = self.counts.get(gram[k:], (0, 0))
-            if x[0]:
-                p = (t - discount(t) + x[2] * p) / x[0]
-            if x[1]:
-                q = (o - discount(o) + x[3] * q) / x[1]
-        if len(self.steps) >= MEMORY:
-            self.steps.clear()
-        r = self.steps[gram] = log(p / q)
-        return r
+    def __init__(self, steps: dict[str, float]):
+        self.steps, self.known = steps, {}
+
+    @classmethod
+    def load(cls, path: str) -> Models:
+        with pa.memory_map(path) as f:
+            table = pa.ipc.open_file(f).read_all()
+        return cls(dict(zip(table["key"].to_pylist(), table["ratio"].to_pylist())))
 
     def ratio(self, word: str) -> float:
         """log P(word | toxic document) - log P(word | ordinary one)."""
-        marked, steps, r = f"^{word}$", self.steps, 0.0
+        marked, get, r = f"^{word}$", self.steps.get, 0.0
         for end in range(2, len(marked) + 1):
             gram = marked[max(0, end - ORDER) : end]
-            s = steps.get(gram)
-            r += self.step(gram) if s is None else s
+            s = get(gram)
+            r += get(gram[:-1] + "\0", 0.0) if s is None else s
         r = log(1 - SHARE + SHARE * exp(min(r, 500.0)))
         if len(self.known) >= MEMORY:
             self.known.clear()
@@ -111,6 +117,17 @@ class Models:
         return total / len(found)
 
 
+def save(table: pa.Table, path: str) -> None:
+    m = class_models(table["gram"].combine_chunks(), table["t"].to_numpy(), table["o"].to_numpy())
+    keys = pa.concat_arrays([m["gram"], pc.binary_join_element_wise(m["context"], "\0", "")])
+    ratios = np.concatenate([np.log(m["toxic"]) - np.log(m["ordinary"]), np.log(m["toxic_weight"]) - np.log(m["ordinary_weight"])])
+    out = pa.table({"key": keys, "ratio": ratios})
+    part = f"{path}.{uuid.uuid4().hex[:8]}"
+    with pa.OSFile(part, "wb") as f, pa.ipc.new_file(f, out.schema) as w:
+        w.write_table(out)
+    os.replace(part, path)
+
+
 def threshold(scores: pd.DataFrame) -> float:
     """The score that best parts toxic from ordinary documents (true less false positive rate), midway to the next one below."""
     toxic, plain = (np.sort(scores.s[scores.toxic == k].to_numpy()) for k in (1, 0))
@@ -125,8 +142,8 @@ def threshold(scores: pd.DataFrame) -> float:
     return float((best + below[-1]) / 2 if len(below) else best)
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[Models, float]:
-    """The models, counted in Spark on the labelled sample, and the threshold; what the driver gets is bounded by ``labelled``."""
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[str, float]:
+    """The file of the models and the threshold. Counts are made in Spark on the labelled sample; what the driver gets is bounded by ``labelled``."""
     sample = labelled_sample(labels, "toxic", labelled, docs).collect()
     known = docs.sparkSession.createDataFrame([(r[0], r[1]) for r in sample], "__id long, toxic int")
     known = known.withColumn("held", F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(HELD_OUT)) == 0)
@@ -136,24 +153,19 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[M
     word = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     ends = F.sequence(F.lit(2), F.length(word))
     grams = F.flatten(F.transform(ends, lambda e: F.transform(F.sequence(F.lit(1), F.least(e, F.lit(ORDER))), lambda n: F.substring(word, e - n + 1, n))))
-    rows = each.select(F.explode(grams).alias("gram"), "t", "o").groupBy("gram").agg(F.sum("t"), F.sum("o")).toPandas()
-    counts = {g: (t, o) for g, t, o in rows.itertuples(index=False)}
-    models = Models(counts, sum(len(g) == 1 for g in counts))
-    scores = scored(marked, models, "s").select("toxic", "held", "s").where("s is not null").toPandas()
+    counted = each.select(F.explode(grams).alias("gram"), "t", "o").groupBy("gram").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    path = f"{posix(shared_folder(docs.sparkSession, 'toxic'))}/models.arrow"
+    save(counted.toArrow(), path)
+    scores = scored(marked, path, "s").select("toxic", "held", "s").where("s is not null").toPandas()
     apart = scores[scores.held]
-    return models, threshold(apart if (apart.toxic == 1).any() and (apart.toxic == 0).any() else scores)
-
+    return path, threshold(apart if (apart.toxic == 1).any() and (apart.toxic == 0).any() else scores)
 
-def scored(docs: DataFrame, models: Models, name: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((models.counts, models.letters))
-    number = shared._jbroadcast.id() if shared._jbroadcast is not None else id(shared)
 
+def scored(docs: DataFrame, path: str, name: str) -> DataFrame:
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        if number not in _here:
-            _here.clear()
-            _here[number] = Models(*shared.value)
-        return pa.array([_here[number].score(t.as_py()) for t in texts], pa.float64())
+        models = once("toxic", path, lambda: Models.load(path))
+        return pa.array([models.score(t.as_py()) for t in texts], pa.float64())
 
     return docs.withColumn(name, score(F.col("text")))
 
@@ -171,7 +183,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Da
     A text that is null or has no word has a null score and isn't toxic; equal texts score alike; ids matter for
     finding labels only. Without toxic labels nothing is toxic. Columns named as the results are replaced, all
     others stay; no rows give none."""
-    models, least = fit(docs, labels, labelled)
+    path, least = fit(docs, labels, labelled)
     (s,) = fresh(docs, "toxic_score_")
     value = F.col(f"`{s}`")
-    return put(scored(docs, models, s), {"toxic_score": value, "toxic": F.coalesce(value >= F.lit(least), F.lit(False))}).drop(s)
+    return put(scored(docs, path, s), {"toxic_score": value, "toxic": F.coalesce(value >= F.lit(least), F.lit(False))}).drop(s)
