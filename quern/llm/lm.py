@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from quern.llm.common import fresh, load_array, posix, put, ragged, save_array, shared_folder, words
 from quern.llm.lines import mix
@@ -16,14 +17,21 @@ from quern.llm.lines import mix
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Tokens that a worker takes at a time.
 SLICE = 1_000_000
-#: High bits of a bigram's key are of its first word, so that a shard has all bigrams of its words.
-HIGH = np.uint64(24)
+#: A word of twice this share of all words is spread over all shards.
+HOT = 0.001
 
 
-def bigram_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted known ones."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def bigram_keys(v: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """High bits are those of the first word, so that a shard has all bigrams of its words; bigrams of hot words lie anywhere."""
     low = np.uint64((1 << 40) - 1)
     with np.errstate(over="ignore"):
-        return (v & ~low) | (mix(v * np.uint64(0x9E3779B97F4A7C15) + w, 5) & low)
+        key = mix(v * np.uint64(0x9E3779B97F4A7C15) + w, 5)
+    return np.where(among(v, hot), key, (v & ~low) | (key & low))
 
 
 def sequences(values: np.ndarray, offsets: np.ndarray):
@@ -79,15 +87,38 @@ def tokens(docs: DataFrame) -> DataFrame:
     return docs.select(F.transform(words(F.lower(text)), lambda w: F.xxhash64(w)).alias("h"))
 
 
+def hot_words(docs: DataFrame) -> np.ndarray:
+    """The sorted hashes of the documents' begin and of at most 1 / HOT words, among them all of twice the share HOT.
+
+    A slice names the words that have that share in it; a word of twice the share has at least half its
+    occurrences where it is named."""
+
+    def frequent(batches):
+        for batch in batches:
+            values, offsets = ragged(batch.column(0))
+            offsets = offsets[np.append(True, np.diff(offsets) > 0)]
+            for _, _, seq, _ in sequences(values, offsets):
+                word, n = np.unique(seq, return_counts=True)
+                some = (n >= HOT * len(seq)) & (word != BEGIN) & (word != END)
+                yield pa.RecordBatch.from_pydict({"word": word[some].view(np.int64), "n": n[some].astype(np.int64), "total": np.zeros(int(some.sum()), np.int64)})
+                yield pa.RecordBatch.from_pydict({"word": np.zeros(1, np.int64), "n": np.zeros(1, np.int64), "total": np.array([len(seq)], np.int64)})
+
+    sums = tokens(docs).mapInArrow(frequent, "word long, n long, total long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    all_ = F.sum("total").over(W.Window.partitionBy())
+    rows = sums.withColumn("all", all_).where((F.col("n") > 0) & (F.col("n") >= HOT * F.col("all"))).select("word").collect()
+    return np.unique(np.array([BEGIN, *(np.int64(r[0]).view(np.uint64) for r in rows)], np.uint64))
+
+
 def train(docs: DataFrame) -> tuple[str, int, dict]:
     """The model's folder, the bits of a hash that name its shard, and its totals.
 
     One shuffle brings bigram counts, summed slice by slice, to the shard of their first word; a second, smaller
-    one brings continuation counts to the shard of their last word. Both carry packed arrays. The driver gets a
-    row a shard."""
+    one brings continuation counts to the shard of their last word, and what the shards know of hot first words to
+    one shard each. Both carry packed arrays. The driver gets the hot words and a row a shard."""
     spark = docs.sparkSession
     bits = max(0, int(np.ceil(np.log2(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))))))
     folder = posix(shared_folder(spark, "lm"))
+    hot = hot_words(docs)
     of = lambda x: (x >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
 
     def count(batches):
@@ -99,42 +130,52 @@ def train(docs: DataFrame) -> tuple[str, int, dict]:
                 inside = np.ones(len(seq) - 1, bool)
                 inside[starts[1:] - 1] = False
                 v, w = seq[:-1][inside], seq[1:][inside]
-                _, n, v, w = grouped(bigram_keys(v, w), np.ones(len(v), np.uint32), v, w)
-                yield blobs(of(v), v, w, n.astype(np.uint32))
+                keys, n, v, w = grouped(bigram_keys(v, w, hot), np.ones(len(v), np.uint32), v, w)
+                yield blobs(of(keys), v, w, n.astype(np.uint32))
 
     def merge(key, table):
         s = key[0].as_py()
         v, w, n = joined(table, "b0", np.uint64), joined(table, "b1", np.uint64), joined(table, "b2", np.uint32)
-        keys, n, v, w = grouped(bigram_keys(v, w), n.astype(np.int64), v, w)
+        keys, n, v, w = grouped(bigram_keys(v, w, hot), n.astype(np.int64), v, w)
         os.makedirs(folder, exist_ok=True)
         save_array(f"{folder}/{s}.keys.npy", keys)
         save_array(f"{folder}/{s}.counts.npy", np.minimum(n, 2**32 - 1).astype(np.uint32))
         each = [(n == 1), (n == 2), (n >= 3)]
         context, total, *_ = grouped(v, n)
-        stats = [total, *(grouped(v, x.astype(np.int64))[1] for x in each)]
-        save_array(f"{folder}/{s}.contexts.npy", context)
-        save_array(f"{folder}/{s}.stats.npy", np.stack(stats, axis=1) if len(context) else np.zeros((0, 4), np.int64))
+        stats = np.stack([total, *(grouped(v, x.astype(np.int64))[1] for x in each)], axis=1)
+        spread = among(context, hot)
+        save_array(f"{folder}/{s}.contexts.npy", context[~spread])
+        save_array(f"{folder}/{s}.stats.npy", stats[~spread])
         words_, before = grouped(w, np.ones(len(w), np.int64))
+        mine = blobs(of(context[spread]), context[spread], stats[spread]).rename_columns(["shard", "b2", "b3"])
+        none = pa.array([b""] * mine.num_rows, pa.binary())
+        mine = pa.RecordBatch.from_arrays([mine.column(0), none, none, mine.column(1), mine.column(2)], names=["shard", "b0", "b1", "b2", "b3"])
         out = blobs(of(words_), words_, before)
+        none = pa.array([b""] * out.num_rows, pa.binary())
+        out = pa.Table.from_batches([pa.RecordBatch.from_arrays([*out.columns, none, none], names=mine.schema.names), mine])
         sizes = np.array([(n == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes()
-        return pa.Table.from_batches([out]).append_column("sizes", pa.array([sizes] + [b""] * (out.num_rows - 1), pa.binary()))
+        return out.append_column("sizes", pa.array([sizes] + [b""] * (out.num_rows - 1), pa.binary()))
 
     def continuations(key, table):
         s = key[0].as_py()
         w, before = grouped(joined(table, "b0", np.uint64), joined(table, "b1", np.int64))
         save_array(f"{folder}/{s}.words.npy", w)
         save_array(f"{folder}/{s}.before.npy", before)
+        context, stats = joined(table, "b2", np.uint64), joined(table, "b3", np.int64).reshape(-1, 4)
+        hot_contexts = [grouped(context, stats[:, k]) for k in range(4)]
+        save_array(f"{folder}/{s}.hot.npy", hot_contexts[0][0])
+        save_array(f"{folder}/{s}.hotstats.npy", np.stack([x[1] for x in hot_contexts], axis=1))
         sizes = joined(table, "sizes", np.int64).reshape(-1, 4).sum(axis=0)
         each = [int((before == k).sum()) for k in (1, 2, 3, 4)]
         return pa.table({k: [int(x)] for k, x in zip(("types", "total", "n1", "n2", "n3", "n4", "c1", "c2", "c3", "c4", "m3"), (len(w), before.sum(), *sizes, *each, (before >= 3).sum()))})
 
     counted = tokens(docs).mapInArrow(count, "shard long, b0 binary, b1 binary, b2 binary")
-    merged = counted.groupBy("shard").applyInArrow(merge, "shard long, b0 binary, b1 binary, sizes binary")
+    merged = counted.groupBy("shard").applyInArrow(merge, "shard long, b0 binary, b1 binary, b2 binary, b3 binary, sizes binary")
     names = ("types", "total", "n1", "n2", "n3", "n4", "c1", "c2", "c3", "c4", "m3")
     sums = merged.groupBy("shard").applyInArrow(continuations, ", ".join(f"{n} long" for n in names)).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first().asDict()
     d, e = discounts([sums[f"n{k}"] for k in (1, 2, 3, 4)]), discounts([sums[f"c{k}"] for k in (1, 2, 3, 4)])
     rest = (e * [sums["c1"], sums["c2"], sums["m3"]]).sum() / max(1, sums["total"])
-    return folder, bits, {"d": d.tolist(), "e": e.tolist(), "total": sums["total"], "base": rest / (sums["types"] + 1)}
+    return folder, bits, {"hot": hot.tolist(), "d": d.tolist(), "e": e.tolist(), "total": sums["total"], "base": rest / (sums["types"] + 1)}
 
 
 class Model:
@@ -142,6 +183,7 @@ class Model:
 
     def __init__(self, folder: str, bits: int, known: dict):
         self.folder, self.bits, self.known, self.maps = folder, bits, known, {}
+        self.hot = np.array(known["hot"], np.uint64)
         self.d, self.e = (np.array([0.0, *known[k]]) for k in "de")
 
     def array(self, shard: int, name: str):
@@ -169,10 +211,10 @@ class Model:
         word, place = np.unique(seq, return_inverse=True)
         before = self.find(word, "words", "before")
         p = (before - self.e[np.minimum(before, 3)]) / max(1, self.known["total"]) + self.known["base"]
-        stats = self.find(word, "contexts", "stats", 4)
+        stats = self.find(word, "contexts", "stats", 4) + self.find(word, "hot", "hotstats", 4)
         total = np.maximum(stats[:, 0], 1)
         spare = np.where(stats[:, 0] > 0, (stats[:, 1:] * self.d[1:]).sum(axis=1) / total, 1.0)
-        pair, where = np.unique(bigram_keys(seq[:-1], seq[1:]), return_inverse=True)
+        pair, where = np.unique(bigram_keys(seq[:-1], seq[1:], self.hot), return_inverse=True)
         n = self.find(pair, "keys", "counts")
         own = (n - self.d[np.minimum(n, 3)])[where] / total[place[:-1]]
         return np.concatenate([[0.0], np.log(own + spare[place[:-1]] * p[place[1:]])])

@@ -61,3 +61,14 @@ def test_odd_rows(odd, docs_of):
     assert len({r.perplexity for r in out if r.text and r.text.startswith("the cat")}) == 1
     assert next(r.lm_words for r in out if r.doc_id == 4) == 80_000
     assert lm.score(docs_of([])).collect() == [] and lm.score(docs_of([(1, None)])).first().perplexity is None
+
+
+def test_hot_words_are_spread(docs_of, monkeypatch):
+    """A word of a great share and the documents' begin are hot; the model is the same wherever their bigrams lie."""
+    monkeypatch.setattr(lm, "HOT", 0.05)
+    docs = docs_of(list(TEXTS.items()))
+    hot = lm.hot_words(docs)
+    assert lm.BEGIN in hot and 2 <= len(hot) <= 21 and (hot[1:] > hot[:-1]).all()
+    want = brute(TEXTS)
+    got = {r.doc_id: r.perplexity for r in lm.score(docs).collect() if r.perplexity is not None}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 * want[i] for i in want)
