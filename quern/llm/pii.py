@@ -27,6 +27,7 @@ SECRET_WORD = r"(?i)(?:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]
 #: Gazetteers: mail domains and endings, calling codes, key prefixes, addresses that name no one.
 ENDINGS = "com|org|net|edu|gov|info|io|co|biz|me|eu|de|fr|es|it|nl|uk|us|ca|ch|at|be|ru|cn|jp|br|in|au"
 CALLING = "1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|54|55|56|57|60|61|62|63|64|65|66|81|82|84|86|90|91|92|98|351|353|358|380|420"
+DATE = r"^((1[0-9]|20)[0-9]{2}[.\-][01]?[0-9][.\-][0-3]?[0-9]|[0-3]?[0-9][.\-][01]?[0-9][.\-](1[0-9]|20)[0-9]{2})$"
 KEYS = "AKIA|ASIA|AROA|AIza|ghp_|gho_|ghs_|glpat-|sk-|sk_live_|pk_live_|rk_live_|xox[abprs]-|SG\\."
 
 
@@ -50,7 +51,7 @@ def kind(s: Column) -> Column:
     return (
         F.when(s.contains("@"), 0).when(s.rlike(SECRET_WORD), 1).when(s.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), 2).when(s.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), 3)
         .when(s.rlike("[A-Za-z]"), F.when(s.rlike(r"^[A-Z]{2}[0-9]{2}( ?[A-Z0-9]{4}){2,}"), 6).otherwise(7))
-        .when((n >= 13) & s.rlike(r"^[0-9][0-9 \-]+$"), 5).when(s.rlike(r"^[+(]") | s.rlike(r"^[0-9]{2,4}[ .\-][0-9]"), 4).otherwise(8)
+        .when(s.rlike(DATE), 8).when((n >= 13) & s.rlike(r"^[0-9][0-9 \-]+$"), 5).when(s.rlike(r"^[+(]") | s.rlike(r"^[0-9]{2,4}[ .\-][0-9]"), 4).otherwise(8)
     )
 
 
@@ -80,7 +81,7 @@ def labelers(s: Column, before: Column) -> list[tuple[Column, Column]]:
         # context
         (before.rlike(r"(?i)(e-?mail|mail|contact|write to|call|phone|tel|fax|mobile|ip|host|address|card|visa|ssn|iban|account|login|user|password|token|secret|key)\W{0,4}$"), no),
         (no, before.rlike(r"(?i)(version|isbn|issn|doi|section|figure|fig|table|page|pp|chapter|release|build|rev|vol|no|nr)\W{0,3}$")),
-        (no, s.rlike(r"^(1[0-9]|20)[0-9]{2}[.\-][01]?[0-9][.\-][0-3]?[0-9]$") | s.rlike(r"^[0-9]{1,9}$") | (F.length(digits(s)) < 7) & ~s.rlike("[A-Za-z]")),
+        (no, s.rlike(DATE) | s.rlike(r"^[0-9]{1,9}$") | (F.length(digits(s)) < 7) & ~s.rlike("[A-Za-z]")),
     ]
 
 
@@ -111,27 +112,32 @@ def unpack(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes & 15, np.where(raw == 1, 1, np.where(raw == 2, -1, 0))
 
 
+#: Chance of a span without any vote to be private.
+PRIOR = 0.4
+
+
 def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """Each labeler's chance to be right when it votes, and each pattern's chance to be private, by expectation-maximisation.
 
-    A vote is right or wrong with one chance a labeler; a prior of 8 right and 2 wrong votes keeps labelers that
-    never meet another from drifting, and of 1 to 1 the share of private spans."""
-    right, share = np.full(votes.shape[1], 0.8), 0.5
-    p = np.full(len(votes), 0.5)
+    A vote is right or wrong with one chance a labeler. That chance is learnt from the spans where other labelers
+    vote too, beside 8 right and 2 wrong votes beforehand; spans of a single vote say nothing about the labeler, so
+    one that always votes alone stays as good as supposed. The chance before any vote is PRIOR, not the share of private
+    spans: where nearly all candidates are private, a lone vote against one must still count."""
+    right = np.full(votes.shape[1], 0.8)
+    start = np.log(PRIOR / (1 - PRIOR))
+    others = (votes != 0).sum(axis=1)[:, None] - (votes != 0) > 0
     for _ in range(rounds):
-        odds = np.log(share / (1 - share)) + (votes * np.log(right / (1 - right))).sum(axis=1)
-        now = 1 / (1 + np.exp(-odds))
-        agree = (counts[:, None] * np.where(votes == 1, now[:, None], np.where(votes == -1, 1 - now[:, None], 0))).sum(axis=0)
-        cast = (counts[:, None] * (votes != 0)).sum(axis=0)
-        right = np.clip((agree + 8) / (cast + 10), 0.05, 0.99)
-        share = float(np.clip(((counts * now).sum() + 1) / (counts.sum() + 2), 0.05, 0.95))
-        if np.abs(now - p).max(initial=0) < 1e-9:
+        p = 1 / (1 + np.exp(-(start + (votes * np.log(right / (1 - right))).sum(axis=1))))
+        weight = counts[:, None] * ((votes != 0) & others)
+        agree = (weight * np.where(votes == 1, p[:, None], 1 - p[:, None])).sum(axis=0)
+        now = np.clip((agree + 8) / (weight.sum(axis=0) + 10), 0.05, 0.99)
+        moved, right = np.abs(now - right).max(initial=0), now
+        if moved < 1e-9:
             break
-        p = now
-    return right, now if len(votes) else p
+    return right, 1 / (1 + np.exp(-(start + (votes * np.log(right / (1 - right))).sum(axis=1))))
 
 
-def classifier(kinds: np.ndarray, votes: np.ndarray, counts: np.ndarray, target: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def classifier(kinds: np.ndarray, votes: np.ndarray, counts: np.ndarray, target: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Probabilities of a logistic regression on kinds and votes, fit to soft targets by Newton's method."""
     x = np.concatenate([np.ones((len(kinds), 1)), kinds[:, None] == np.arange(len(KINDS)), votes == 1, votes == -1], axis=1).astype(float)
     w = np.zeros(x.shape[1])
