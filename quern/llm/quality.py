@@ -56,7 +56,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, labelled: in
     weights = np.round(weights, 6)
     if not any(r[1] == 1 for r in sample):
         return np.zeros(buckets), float("-inf")
-    scored = marked.where(F.col("__label").isNotNull()).select("__label", score(F.col("__text"), weights).alias("s")).where("s is not null").toPandas()  # bounded by `labelled`
+    scored = marked.where(F.col("__label").isNotNull()).select("__label", score(F.col("__text"), weights).alias("s")).toPandas().dropna()  # bounded by `labelled`; a filter here would go below the join and score every document
     good, bad = np.sort(scored.s[scored["__label"] == 1].to_numpy()), np.sort(scored.s[scored["__label"] == 0].to_numpy())
     if not len(good):
         return weights, float("-inf")
