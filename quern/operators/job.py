@@ -101,7 +101,7 @@ def crawl(spark: SparkSession, config: Crawl, fetch: Callable[[DataFrame], DataF
         if not (n := wave.count()):
             break
         known += n
-        seen = cut(seen.unionByName(wave.select("url_key")))
+        seen = seen.unionByName(wave.select("url_key"))
         allowed = R.check(wave, rules, mode=config.robots, allow=list(config.robots_allow)) if rules is not None else wave.withColumn("robots_allowed", F.lit(True))
         got = fetch(allowed.where("robots_allowed").select("url"))
         results = cut(extracted(wave.join(got, "url")))

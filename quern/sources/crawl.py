@@ -41,5 +41,5 @@ def breadth_first(seeds: DataFrame, edges: DataFrame, max_depth: int, max_nodes:
         if not (n := wave.count()):
             break
         known += n
-        seen = seen.unionByName(wave).checkpoint()
+        seen = seen.unionByName(wave)  # a union of checkpoints, one a wave
     return seen
