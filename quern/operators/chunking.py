@@ -111,6 +111,7 @@ def _exploded(docs: DataFrame, key: str, text: str, fn: Callable[[str, str | Non
         kind = pa.list_(pa.struct([("chunk_index", pa.int32()), ("total_chunks", pa.int32()), ("heading", pa.string()), ("level", pa.int32()), ("section_path", pa.string()), ("content", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("overlap_tokens", pa.int32()), ("estimated_tokens", pa.int32())]))
         return pa.array([fn(x, t) if x else [] for x, t in zip(texts.to_pylist(), titles.to_pylist())], kind)
 
+    chunks = chunks.asNondeterministic()  # else the filter that explode brings would have it run twice
     made = docs.select(F.col(key), chunks(F.col(text), F.col(title) if title else F.lit(None).cast("string")).alias("c")).select(key, F.explode("c").alias("c"))
     ends = {"is_first": F.col("c.chunk_index") == 0, "is_last": F.col("c.chunk_index") == F.col("c.total_chunks") - 1}
     return made.select(key, F.format_string("%s_chunk_%04d", F.col(key).cast("string"), F.col("c.chunk_index")).alias("chunk_id"), "c.*", *[v.alias(k) for k, v in ends.items()])
