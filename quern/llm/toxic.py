@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[s
     counted = each.select(F.explode(grams).alias("gram"), "t", "o").groupBy("gram").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     path = f"{posix(shared_folder(docs.sparkSession, 'toxic'))}/models.arrow"
     save(counted.toArrow(), path)
-    scores = scored(marked, path, "s").select("toxic", "held", "s").where("s is not null").toPandas()
+    scores = scored(marked, path, "s").select("toxic", "held", "s").toPandas().dropna()  # a filter here would go below the join and score every document
     apart = scores[scores.held]
     return path, threshold(apart if (apart.toxic == 1).any() and (apart.toxic == 0).any() else scores)
 
