@@ -178,5 +178,6 @@ SQL = {
                CASE WHEN status IN (404, 410) THEN CASE WHEN doc_id % 3 + 1 >= 2 THEN 'deleted' ELSE 'pending_deletion' END END AS deletion FROM s""",
     "heading_sections": r"SELECT conv_id, role || ' ' || turn AS heading, 'Talk > ' || role || ' ' || turn AS path, md5(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS body_md5 FROM conversations",
     "chunk_heading": r"SELECT conv_id, role || ' ' || turn AS heading, 'Talk > ' || role || ' ' || turn AS section_path, md5('## ' || role || ' ' || turn || chr(10) || chr(10) || regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS content_md5 FROM conversations",
+    "export_jsonl": "SELECT CAST(to_json({'doc_id': doc_id, 'text': text, 'lang': lang, 'source': source, 'n_chars': n_chars}) AS VARCHAR) AS value FROM documents",
     "chunk_window": "SELECT conv_id, turn, CAST(row_number() OVER w - 1 AS INTEGER) AS chunk_index, count(*) OVER (PARTITION BY conv_id) AS total_chunks, row_number() OVER w = 1 AS is_first, row_number() OVER w = count(*) OVER (PARTITION BY conv_id) AS is_last FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)",
 }
