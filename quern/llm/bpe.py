@@ -32,7 +32,7 @@ class RankMap:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         pairs = [(ranks[p[:k]] << 20 | ranks[p[k:]], r) for p, r in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks]
-        self.size = 256 + len(pairs) * 5 // 4
+        self.size = 257 + len(pairs) * 5 // 4 | 1
         slots: list[tuple[int, int] | None] = [None] * (2 * self.size)
         for item in pairs:
             side = 0
@@ -45,7 +45,7 @@ class RankMap:
             else:
                 raise ValueError("the rank map is too dense")
         self.slots = number_list((x[0] << 17 | x[1] if x else -1 for x in slots), "bigint")
-        self.bytes = number_list((ranks[bytes([b])] for b in range(256)), "int")
+        self.bytes = number_list((ranks[bytes([b])] for b in range(256)), "bigint")
         self.hex = F.split(F.lit(",".join(p.hex().upper() for p, _ in sorted(ranks.items(), key=lambda x: x[1]))), ",")
 
     def slot(self, key: int, side: int) -> int:
@@ -54,27 +54,41 @@ class RankMap:
 
     def rank(self, slots: Column, left: Column, right: Column) -> Column:
         """The rank of two pieces put together; NONE if there is no such piece. ``slots`` is the literal, bound once a row."""
-        left, right = left.cast("bigint"), right.cast("bigint")
         key = F.shiftleft(left, 20) + right
-        slot = [F.get(slots, ((left * a + right * b) % self.size).cast("int") + side * self.size) for side, (a, b) in enumerate(MIX)]
-        rank = lambda x: x.bitwiseAND(F.lit((1 << 17) - 1)).cast("int")
-        return let(slot[0], lambda x: F.when(F.shiftright(x, 17) == key, rank(x)).otherwise(let(slot[1], lambda y: F.when(F.shiftright(y, 17) == key, rank(y)).otherwise(F.lit(NONE)))))
+        slot = [F.get(slots, ((left * a + right * b) % self.size + side * self.size).cast("int")) for side, (a, b) in enumerate(MIX)]
+        out = F.lit(NONE).cast("bigint")
+        for x in reversed(slot):  # written out: binding a value costs more than computing it again
+            out = F.when(F.shiftright(x, 17) == key, x.bitwiseAND(F.lit((1 << 17) - 1))).otherwise(out)
+        return out
 
 
 def merged(word: Column, ranks: RankMap) -> Column:
     """Ids of a word: its bytes' ids, of which the adjacent pair of least rank, the first of equals, is merged until none is left."""
     digits = F.hex(F.encode(word, "UTF-8"))
-    start = F.transform(F.sequence(F.lit(0), F.octet_length(word) - 1), lambda i: F.get(ranks.bytes, F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int")))
+    nibble = lambda at: let(F.ascii(F.substring(digits, at, F.lit(1))), lambda c: c.bitwiseAND(F.lit(15)) + F.shiftright(c, 6) * 9)
+    start = F.transform(F.sequence(F.lit(0), F.octet_length(word) - 1), lambda i: F.get(ranks.bytes, nibble(2 * i + 1) * 16 + nibble(2 * i + 2)))
+
+    none, empty = F.lit(NONE), F.array().cast("array<bigint>")
 
     def fold(slots: Column) -> Column:
+        rank = lambda a, b: ranks.rank(slots, a, b)
+
+        def merge(ids: Column, pairs: Column, m: Column, at: Column) -> Column:
+            # only the pairs beside the merged one change
+            before = F.when(at > 1, F.array(rank(F.get(ids, at - 2), m))).otherwise(empty)
+            after = F.when(at + 1 < F.size(ids), F.array(rank(m, F.get(ids, at + 1)))).otherwise(empty)
+            return F.struct(
+                F.flatten(F.array(F.slice(ids, F.lit(1), at - 1), F.array(m), F.slice(ids, at + 2, F.size(ids)))).alias("ids"),
+                F.flatten(F.array(F.slice(pairs, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(pairs, at + 2, F.size(pairs)))).alias("pairs"),
+            )
+
         def round_(state: Column, _: Column) -> Column:
-            ids = state["ids"]
-            pairs = F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids) - 1), lambda a, b: ranks.rank(slots, a, b))
-            put_together = lambda r, m: let(F.array_position(r, m).cast("int"), lambda at: F.concat(F.slice(ids, F.lit(1), at - 1), F.array(m), F.slice(ids, at + 2, F.size(ids))))
-            step = let(pairs, lambda r: let(F.array_min(r), lambda m: F.when(m < NONE, F.struct(put_together(r, m).alias("ids"), F.lit(False).alias("done"))).otherwise(F.struct(ids.alias("ids"), F.lit(True).alias("done")))))
-            return F.when(state["done"], state).otherwise(step)
+            ids, pairs = state["ids"], state["pairs"]
+            done = F.struct(ids.alias("ids"), empty.alias("pairs"))
+            step = let(F.array_min(pairs), lambda m: F.when(m < none, let(F.array_position(pairs, m).cast("int"), lambda at: merge(ids, pairs, m, at))).otherwise(done))
+            return F.when(F.size(pairs) == 0, state).otherwise(step)
 
-        first = F.struct(start.alias("ids"), (F.octet_length(word) < 2).alias("done"))
+        first = let(start, lambda ids: F.struct(ids.alias("ids"), F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids) - 1), rank).alias("pairs")))
         return F.aggregate(F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1))), first, round_)["ids"]
 
     return let(ranks.slots, fold)
