@@ -105,7 +105,7 @@ def run_pairs(keys: np.ndarray, sig: np.ndarray, node: np.ndarray, tag: np.ndarr
 
 def signed_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, hi, lo), written; without documents of null id or without text."""
-    sign = F.arrow_udf(signed, "struct<hi:bigint,lo:bigint>")
+    sign = F.arrow_udf(signed, "struct<hi:bigint,lo:bigint>").asNondeterministic()  # else the filter below would have it run twice
     s = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), sign(F.coalesce(shingles(F.col("text")), F.array().cast("array<long>"))).alias("s"))
     return table(s.where("s is not null").select("doc_id", "s.hi", "s.lo"), "signatures")
 
