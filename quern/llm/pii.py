@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import fresh, let
 
+KEYS = "AKIA|ASIA|AROA|AIza|ghp_|gho_|ghs_|glpat-|sk-|sk_live_|pk_live_|rk_live_|xox[abprs]-|SG\\."
 #: What may hold a span at all; cheap, and true of every text in which SPAN finds something.
-HINT = r"[0-9@=:]"
+HINT = f"[0-9@=:]|{KEYS}"
 #: Candidate spans. Wide on purpose: labelers and classifier tell which are private.
 SPAN = (
     r"(?<![A-Za-z0-9])(?:"
@@ -19,6 +20,7 @@ SPAN = (
     r"|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])"
     r"|[+(]{0,2}[0-9](?:[ .()\-]{0,2}[0-9]){6,18}(?![0-9])"
     r"|[A-Za-z]{2,4}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"
+    rf"|(?:{KEYS})[A-Za-z0-9_\-]{{12,}}"
     r"|(?=[A-Za-z0-9_\-]{0,39}[0-9])[A-Za-z0-9_\-]{16,}"
     r")"
 )
@@ -28,7 +30,6 @@ SECRET_WORD = r"(?i)(?:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]
 ENDINGS = "com|org|net|edu|gov|info|io|co|biz|me|eu|de|fr|es|it|nl|uk|us|ca|ch|at|be|ru|cn|jp|br|in|au"
 CALLING = "1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|54|55|56|57|60|61|62|63|64|65|66|81|82|84|86|90|91|92|98|351|353|358|380|420"
 DATE = r"^((1[0-9]|20)[0-9]{2}[.\-][01]?[0-9][.\-][0-3]?[0-9]|[0-3]?[0-9][.\-][01]?[0-9][.\-](1[0-9]|20)[0-9]{2})$"
-KEYS = "AKIA|ASIA|AROA|AIza|ghp_|gho_|ghs_|glpat-|sk-|sk_live_|pk_live_|rk_live_|xox[abprs]-|SG\\."
 
 
 def digits(span: Column) -> Column:
