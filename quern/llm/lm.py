@@ -1,4 +1,4 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model in sorted hash arrays, mapped by the workers."""
+"""LM scoring: an interpolated modified Kneser-Ney model of any order in sorted hash arrays, mapped by the workers."""
 
 from __future__ import annotations
 
@@ -15,6 +15,10 @@ from quern.llm.lines import mix
 
 #: Begin and end of a document, as if they were words' hashes.
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: Fills n-grams of documents that are shorter than the order; never counted as a word.
+PAD = np.uint64(0x9FB21C651E98DF25)
+#: Words of the longest n-grams in op5_lm_scoring.
+ORDER = 3
 #: Tokens that a worker takes at a time.
 SLICE = 1_000_000
 #: A word of twice this share of all words is spread over all shards.
@@ -34,6 +38,38 @@ def bigram_keys(v: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.where(among(v, hot), key, (v & ~low) | (key & low))
 
 
+def chain(grams: list[np.ndarray]) -> np.ndarray:
+    """A hash of n-grams given word by word; of single words the word itself."""
+    h = grams[0]
+    with np.errstate(over="ignore"):
+        for w in grams[1:]:
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + w, 5)
+    return h
+
+
+def gram_keys(grams: list[np.ndarray], hot: np.ndarray) -> np.ndarray:
+    """As bigram_keys; of longer n-grams the high bits are those of all words but the last, and none is hot."""
+    if len(grams) == 2:
+        return bigram_keys(*grams, hot)
+    low = np.uint64((1 << 40) - 1)
+    context = chain(grams[:-1])
+    return (context & ~low) | (chain([context, grams[-1]]) & low)
+
+
+def ngrams(seq: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
+    """All n-grams inside documents, word by word; a document of fewer words gives one, filled up with PAD."""
+    sizes = np.diff(np.append(starts, len(seq)))
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(seq))
+    full, short = np.flatnonzero(left >= order), np.flatnonzero(sizes < order)
+    filled = [np.where(k < sizes[short], seq[starts[short] + np.minimum(k, sizes[short] - 1)], PAD) for k in range(order)]
+    return [np.concatenate([seq[full + k], filled[k]]) for k in range(order)]
+
+
+def small(n: np.ndarray) -> np.ndarray:
+    """The same numbers in the smallest unsigned type."""
+    return n.astype(np.min_scalar_type(int(n.max()))) if n.size else n.astype(np.uint8)
+
+
 def sequences(values: np.ndarray, offsets: np.ndarray):
     """Slices of whole documents: the first and last document, the words with begin and end, and where each document begins."""
     a = 0
@@ -109,12 +145,16 @@ def hot_words(docs: DataFrame) -> np.ndarray:
     return np.unique(np.array([BEGIN, *(np.int64(r[0]).view(np.uint64) for r in rows)], np.uint64))
 
 
-def train(docs: DataFrame) -> tuple[str, int, dict]:
+def train(docs: DataFrame, order: int) -> tuple[str, int, dict]:
     """The model's folder, the bits of a hash that name its shard, and its totals.
 
-    One shuffle brings bigram counts, summed slice by slice, to the shard of their first word; a second, smaller
-    one brings continuation counts to the shard of their last word, and what the shards know of hot first words to
-    one shard each. Both carry packed arrays. The driver gets the hot words and a row a shard."""
+    One shuffle brings counts of the longest n-grams, summed slice by slice, to the shard of all their words but the
+    last; one for each shorter length from there down to bigrams brings how many words come before each, and plain
+    counts at the documents' begin. A last, smaller one brings continuation counts to the shard of their word, and
+    what the shards know of hot first words to one shard each. All carry packed arrays. The driver gets the hot
+    words and a row a shard."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     spark = docs.sparkSession
     bits = max(0, int(np.ceil(np.log2(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))))))
     folder = posix(shared_folder(spark, "lm"))
@@ -127,11 +167,36 @@ def train(docs: DataFrame) -> tuple[str, int, dict]:
             some = np.flatnonzero(np.diff(offsets) > 0)
             offsets = np.append(offsets[some], offsets[-1])
             for _, _, seq, starts in sequences(values, offsets):
-                inside = np.ones(len(seq) - 1, bool)
-                inside[starts[1:] - 1] = False
-                v, w = seq[:-1][inside], seq[1:][inside]
-                keys, n, v, w = grouped(bigram_keys(v, w, hot), np.ones(len(v), np.uint32), v, w)
-                yield blobs(of(keys), v, w, n.astype(np.uint32))
+                grams = ngrams(seq, starts, order)
+                keys, n, *grams = grouped(gram_keys(grams, hot), np.ones(len(grams[0]), np.uint32), *grams)
+                yield blobs(of(keys), *grams, n.astype(np.uint32))
+
+    def sizes_of(table, n, k) -> bytes:
+        """How many n-grams have count 1, 2, 3, 4, by length; ``table`` has those of longer ones."""
+        sizes = joined(table, "sizes", np.int64).reshape(-1, 4 * (order - 1)).sum(axis=0) if "sizes" in table.column_names else np.zeros(4 * (order - 1), np.int64)
+        sizes[4 * (k - 2) : 4 * (k - 1)] = [(n == c).sum() for c in (1, 2, 3, 4)]
+        return sizes.tobytes()
+
+    def longer(k):
+        """Stores n-grams of ``k`` words, 3 or more, and gives the adjusted counts of those of one word less."""
+
+        def run(key, table):
+            s = key[0].as_py()
+            grams, n = [joined(table, f"b{j}", np.uint64) for j in range(k)], joined(table, f"b{k}", np.uint32).astype(np.int64)
+            keys, n, *grams = grouped(gram_keys(grams, hot), n, *grams)
+            whole, first = grams[-1] != PAD, grams[0] == BEGIN
+            context, stats, *_ = grouped(chain(grams[:-1])[whole], np.stack([n, n == 1, n == 2, n >= 3], axis=1).astype(np.int64)[whole])
+            os.makedirs(folder, exist_ok=True)
+            for name, x in (("keys", keys[whole]), ("counts", small(n[whole])), ("contexts", context), ("stats", small(stats))):
+                save_array(f"{folder}/{s}.{name}{k}.npy", x)
+            sizes = sizes_of(table, n[whole], k)
+            # each is another word before the rest; at the begin nothing is before, and all that begins so counts
+            rest = [np.concatenate([grams[j + 1][whole], grams[j][first]]) for j in range(k - 1)]
+            keys, n, *rest = grouped(gram_keys(rest, hot), np.concatenate([np.ones(int(whole.sum()), np.int64), n[first]]), *rest)
+            out = pa.Table.from_batches([blobs(of(keys), *rest, np.minimum(n, 2**32 - 1).astype(np.uint32))])
+            return out.append_column("sizes", pa.array([sizes] + [b""] * (out.num_rows - 1), pa.binary()))
+
+        return run
 
     def merge(key, table):
         s = key[0].as_py()
@@ -139,7 +204,7 @@ def train(docs: DataFrame) -> tuple[str, int, dict]:
         keys, n, v, w = grouped(bigram_keys(v, w, hot), n.astype(np.int64), v, w)
         os.makedirs(folder, exist_ok=True)
         save_array(f"{folder}/{s}.keys.npy", keys)
-        save_array(f"{folder}/{s}.counts.npy", np.minimum(n, 2**32 - 1).astype(np.uint32))
+        save_array(f"{folder}/{s}.counts.npy", small(np.minimum(n, 2**32 - 1)))
         each = [(n == 1), (n == 2), (n >= 3)]
         context, total, *_ = grouped(v, n)
         stats = np.stack([total, *(grouped(v, x.astype(np.int64))[1] for x in each)], axis=1)
@@ -153,7 +218,7 @@ def train(docs: DataFrame) -> tuple[str, int, dict]:
         out = blobs(of(words_), words_, before)
         none = pa.array([b""] * out.num_rows, pa.binary())
         out = pa.Table.from_batches([pa.RecordBatch.from_arrays([*out.columns, none, none], names=mine.schema.names), mine])
-        sizes = np.array([(n == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes()
+        sizes = sizes_of(table, n, 2)
         return out.append_column("sizes", pa.array([sizes] + [b""] * (out.num_rows - 1), pa.binary()))
 
     def continuations(key, table):
@@ -165,17 +230,21 @@ def train(docs: DataFrame) -> tuple[str, int, dict]:
         hot_contexts = [grouped(context, stats[:, k]) for k in range(4)]
         save_array(f"{folder}/{s}.hot.npy", hot_contexts[0][0])
         save_array(f"{folder}/{s}.hotstats.npy", np.stack([x[1] for x in hot_contexts], axis=1))
-        sizes = joined(table, "sizes", np.int64).reshape(-1, 4).sum(axis=0)
+        sizes = joined(table, "sizes", np.int64).reshape(-1, 4 * (order - 1)).sum(axis=0)
         each = [int((before == k).sum()) for k in (1, 2, 3, 4)]
-        return pa.table({k: [int(x)] for k, x in zip(("types", "total", "n1", "n2", "n3", "n4", "c1", "c2", "c3", "c4", "m3"), (len(w), before.sum(), *sizes, *each, (before >= 3).sum()))})
+        return pa.table({k: [int(x)] for k, x in zip(names, (len(w), before.sum(), *each, (before >= 3).sum(), *sizes))})
 
-    counted = tokens(docs).mapInArrow(count, "shard long, b0 binary, b1 binary, b2 binary")
+    names = ("types", "total", "c1", "c2", "c3", "c4", "m3", *(f"n{k}_{c}" for k in range(2, order + 1) for c in (1, 2, 3, 4)))
+    packed = lambda n: ", ".join(f"b{j} binary" for j in range(n))
+    counted = tokens(docs).mapInArrow(count, f"shard long, {packed(order + 1)}")
+    for k in range(order, 2, -1):
+        counted = counted.groupBy("shard").applyInArrow(longer(k), f"shard long, {packed(k)}, sizes binary")
     merged = counted.groupBy("shard").applyInArrow(merge, "shard long, b0 binary, b1 binary, b2 binary, b3 binary, sizes binary")
-    names = ("types", "total", "n1", "n2", "n3", "n4", "c1", "c2", "c3", "c4", "m3")
     sums = merged.groupBy("shard").applyInArrow(continuations, ", ".join(f"{n} long" for n in names)).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first().asDict()
-    d, e = discounts([sums[f"n{k}"] for k in (1, 2, 3, 4)]), discounts([sums[f"c{k}"] for k in (1, 2, 3, 4)])
+    d = [discounts([sums[f"n{k}_{c}"] for c in (1, 2, 3, 4)]).tolist() for k in range(2, order + 1)]
+    e = discounts([sums[f"c{k}"] for k in (1, 2, 3, 4)])
     rest = (e * [sums["c1"], sums["c2"], sums["m3"]]).sum() / max(1, sums["total"])
-    return folder, bits, {"hot": hot.tolist(), "d": d.tolist(), "e": e.tolist(), "total": sums["total"], "base": rest / (sums["types"] + 1)}
+    return folder, bits, {"hot": hot.tolist(), "d": d, "e": e.tolist(), "total": sums["total"], "base": rest / (sums["types"] + 1)}
 
 
 class Model:
@@ -184,7 +253,8 @@ class Model:
     def __init__(self, folder: str, bits: int, known: dict):
         self.folder, self.bits, self.known, self.maps = folder, bits, known, {}
         self.hot = np.array(known["hot"], np.uint64)
-        self.d, self.e = (np.array([0.0, *known[k]]) for k in "de")
+        self.e = np.array([0.0, *known["e"]])
+        self.d = {k: np.array([0.0, *d]) for k, d in enumerate(known["d"], 2)}
 
     def array(self, shard: int, name: str):
         if (shard, name) not in self.maps:
@@ -206,33 +276,46 @@ class Model:
             out[a:b][hit] = self.array(int(shard[a]), values)[at[hit]].reshape(-1, width)
         return out if width > 1 else out[:, 0]
 
-    def logs(self, seq: np.ndarray) -> np.ndarray:
-        """log P of each word after the one before it; that of the first is void."""
+    def mixed(self, n: np.ndarray, stats: np.ndarray, k: int, p: np.ndarray) -> np.ndarray:
+        """P of words by n-grams of ``k``: discounted counts, and the rest by ``p``, that of the shorter ones."""
+        d, total = self.d[k], np.maximum(stats[:, 0], 1)
+        spare = np.where(stats[:, 0] > 0, (stats[:, 1:] * d[1:]).sum(axis=1) / total, 1.0)
+        return (n - d[np.minimum(n, 3)]) / total + spare * p
+
+    def logs(self, seq: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log P of each word after those before it in its document; that of the first is void."""
         word, place = np.unique(seq, return_inverse=True)
         before = self.find(word, "words", "before")
         p = (before - self.e[np.minimum(before, 3)]) / max(1, self.known["total"]) + self.known["base"]
         stats = self.find(word, "contexts", "stats", 4) + self.find(word, "hot", "hotstats", 4)
-        total = np.maximum(stats[:, 0], 1)
-        spare = np.where(stats[:, 0] > 0, (stats[:, 1:] * self.d[1:]).sum(axis=1) / total, 1.0)
         pair, where = np.unique(bigram_keys(seq[:-1], seq[1:], self.hot), return_inverse=True)
         n = self.find(pair, "keys", "counts")
-        own = (n - self.d[np.minimum(n, 3)])[where] / total[place[:-1]]
-        return np.concatenate([[0.0], np.log(own + spare[place[:-1]] * p[place[1:]])])
+        p = np.concatenate([[1.0], self.mixed(n[where], stats[place[:-1]], 2, p[place[1:]])])
+        at = np.arange(len(seq)) - np.repeat(starts, np.diff(np.append(starts, len(seq))))
+        for k in range(3, max(self.d) + 1):
+            own = np.flatnonzero(at >= k - 1)
+            grams = [seq[own - k + 1 + j] for j in range(k)]
+            key, where = np.unique(gram_keys(grams, self.hot), return_inverse=True)
+            context, place = np.unique(chain(grams[:-1]), return_inverse=True)
+            n, stats = self.find(key, f"keys{k}", f"counts{k}"), self.find(context, f"contexts{k}", f"stats{k}", 4)
+            p[own] = self.mixed(n[where], stats[place], k, p[own])
+        return np.log(p)
 
 
 _models: dict[str, Model] = {}
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, order: int = 2) -> DataFrame:
     """``docs`` with ``lm_words`` (long) and ``perplexity`` (double), by a model of all their own words.
 
-    The model is a bigram one: words in lower case and the document's end, each after the word before it or the
-    document's begin; modified Kneser-Ney discounts come from the counts of counts, and every bigram is
-    interpolated with the continuation probability of its word, that with a uniform one. Perplexity is over the
+    The model has n-grams of up to ``order`` words: words in lower case and the document's end, each after the words
+    before it, as far back as the document's begin; modified Kneser-Ney discounts come from each length's counts of
+    counts, and every n-gram is interpolated with the next shorter one, a word's continuation probability with a
+    uniform one. Shorter n-grams count the words before them, at the begin their occurrences. Perplexity is over the
     words and the end. Texts that are null or without words have 0 words, a null perplexity and no part in the
     model. Every row counts, repeated ones too; ids aren't looked at; columns named as the results are
     replaced, all others stay; no rows give none. Words are known by 64-bit hashes."""
-    folder, bits, known = train(docs)
+    folder, bits, known = train(docs, order)
 
     @F.arrow_udf("double")
     def perplexity(hashes: pa.Array) -> pa.Array:
@@ -245,7 +328,7 @@ def score(docs: DataFrame) -> DataFrame:
         some = np.flatnonzero(sizes > 0)
         out = np.full(len(sizes), np.nan)
         for a, b, seq, starts in sequences(np.asarray(values), np.append(offsets[some], offsets[-1])):
-            logs = model.logs(seq)
+            logs = model.logs(seq, starts)
             logs[starts] = 0.0
             out[some[a:b]] = np.exp(-np.add.reduceat(logs, starts) / (sizes[some[a:b]] + 1))
         return pa.array(out, pa.float64(), mask=sizes == 0)

@@ -32,7 +32,7 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(read(spark, sf_dir, "documents")).select("doc_id", "lm_words", "perplexity")
+    return lm.score(read(spark, sf_dir, "documents"), lm.ORDER).select("doc_id", "lm_words", "perplexity")
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
