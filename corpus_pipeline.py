@@ -38,8 +38,8 @@ def private_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies; null and empty texts take no place."""
-    return packing.packed(docs)
+    """Where each piece of each document lies, in tokens of the BPE; null and empty texts take no place."""
+    return packing.packed(packing.tokenised(docs), F.col("n_tokens"))
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup), ("pii", private_spans), ("packing", windows)]

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import bpe
+from quern.llm.common import table
+
 #: Window lengths in tokens, and the windows' tokens that one step takes.
 TIERS = (1024, 4096, 16384)
 STEP_TOKENS = 1 << 19
@@ -23,6 +26,14 @@ def tokens(text: Column) -> Column:
     return F.when(size > 0, F.ceil(size / F.lit(BYTES_PER_TOKEN)).cast("long") + 1).otherwise(F.lit(0).cast("long"))
 
 
+def tokenised(docs: DataFrame) -> DataFrame:
+    """doc_id and n_tokens: the byte-level BPE's tokens of the text and one that ends the document; 0 for a null or empty text.
+
+    Written once, so that packing doesn't tokenise again each time it looks at lengths."""
+    n = F.size(F.coalesce("ids", F.array().cast("array<int>"))).cast("long")
+    return table(bpe.encode(docs.select("doc_id", "text")).select("doc_id", F.when(n > 0, n + 1).otherwise(F.lit(0).cast("long")).alias("n_tokens")), "lengths")
+
+
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
     """Windows of descending ``lengths`` by best fit, and what stays free in each."""
     free: list[tuple[int, int]] = []

@@ -52,7 +52,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(read(spark, sf_dir, "documents"))
+    return packing.packed(packing.tokenised(read(spark, sf_dir, "documents")), F.col("n_tokens"))
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_toxicity, op4_ann, op5_lm_scoring, op6_pii, op7_line_dedup, op8_near_dedup, op9_sharding, op10_packing)}
