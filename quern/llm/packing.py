@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from quern.llm import bpe
 from quern.llm.common import table
@@ -15,8 +17,10 @@ from quern.llm.common import table
 #: Window lengths in tokens, and the windows' tokens that one step takes.
 TIERS = (1024, 4096, 16384)
 STEP_TOKENS = 1 << 19
-#: Pieces that one task packs together.
+#: Documents that one task packs together at first.
 BUCKET = 50_000
+#: Windows that hold this share aren't packed again; a task that packs again takes so many times BUCKET pieces.
+FULL, TOGETHER = 63 / 64, 20
 BYTES_PER_TOKEN = 4
 
 
@@ -110,10 +114,12 @@ def packed(docs: DataFrame, length: Column | None = None, tiers: tuple[int, ...]
     best; the gaps of longer windows then take the largest pieces of shorter tiers that fit. Windows of a tier
     are dealt to step groups by the tokens they hold, there and back, so that groups hold nearly as much.
 
-    Pieces are packed in buckets by hash of id and length, so no task sees more than about ``bucket``
-    documents however many there are; window and step numbers carry the bucket and are unique. ``length``
-    defaults to ``tokens(text)``. Null, empty or nonpositive lengths give no row; repeated rows and rows of a
-    null id are packed each for itself; other columns don't matter and don't appear. No rows give no rows."""
+    Pieces are packed in buckets by hash of id and length, of about ``bucket`` documents each. Pieces of windows
+    that are less than FULL are then packed again, TOGETHER times ``bucket`` of them in a task, which is all of them
+    unless there are more; that goes on while it takes fewer tasks than before. Steps are dealt over all windows of
+    a tier. Window numbers carry the bucket and are unique. ``length`` defaults to ``tokens(text)``. Null, empty or
+    nonpositive lengths give no row; repeated rows and rows of a null id are packed each for itself; other columns
+    don't matter and don't appear. No rows give no rows."""
     tiers = tuple(sorted(tiers))
     long = tiers[-1]
     size = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (length if length is not None else tokens(F.col("text"))).cast("long").alias("__n")).where("__n > 0")
@@ -125,9 +131,45 @@ def packed(docs: DataFrame, length: Column | None = None, tiers: tuple[int, ...]
     # a document of one piece has its length, others are full but for the last
     pieces = pieces.select("__bucket", "doc_id", "piece", (F.col("piece").cast("long") * long).alias("start"), F.least(F.lit(long).cast("long"), F.col("__n") - F.col("piece").cast("long") * long).alias("n_tokens"))
 
-    def run(key, pdf):
-        got = pack(pdf.doc_id.fillna(-1).to_numpy(np.int64), pdf.piece.to_numpy(np.int64), pdf.n_tokens.to_numpy(np.int64), tiers, step_tokens)
-        high = np.int64(key[0]) << 32
-        return pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "piece": pdf.piece, "start": pdf.start, "n_tokens": pdf.n_tokens, "tier": got["tier"].astype(np.int32), "window": got["window"] + high, "offset": got["offset"], "step": got["step"] + high})
-
-    return pieces.groupBy("__bucket").applyInPandas(run, "doc_id long, piece int, start long, n_tokens long, tier int, window long, offset long, step long")
+    def run(base):
+        def one(key, pdf):
+            got = pack(pdf.doc_id.fillna(-1).to_numpy(np.int64), pdf.piece.to_numpy(np.int64), pdf.n_tokens.to_numpy(np.int64), tiers, step_tokens)
+            high = np.int64(key[0] + base) << 32
+            held = pdf.n_tokens.groupby(got["window"]).transform("sum")
+            return pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "piece": pdf.piece, "start": pdf.start, "n_tokens": pdf.n_tokens, "tier": got["tier"].astype(np.int32), "window": got["window"] + high, "offset": got["offset"], "step": got["step"] + high, "held": held})
+
+        return one
+
+    def windows(pieces, base=0):
+        return pieces.groupBy("__bucket").applyInPandas(run(base), "doc_id long, piece int, start long, n_tokens long, tier int, window long, offset long, step long, held long")
+
+    if buckets == 1:
+        return windows(pieces).drop("held")
+    parts, base = [], 0
+    while True:
+        got, base = table(windows(pieces, base), "packed"), base + buckets
+        loose = got.where(F.col("held") < F.col("tier") * FULL)
+        fewer = -(-loose.count() // (TOGETHER * bucket))
+        if not 0 < fewer < buckets:
+            parts.append(got)
+            break
+        parts.append(got.where(F.col("held") >= F.col("tier") * FULL))
+        pieces, buckets = loose.select("doc_id", "piece", "start", "n_tokens", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(fewer)).cast("int").alias("__bucket")), fewer
+    return stepped(reduce(DataFrame.unionByName, parts).drop("step"), tiers, step_tokens)
+
+
+def stepped(pieces: DataFrame, tiers: tuple[int, ...], step_tokens: int) -> DataFrame:
+    """``pieces`` with step instead of held: all windows of a tier by tokens held, dealt to its steps there and back."""
+    each = pieces.select("tier", "window", "held").distinct()
+    n = {r.tier: r["count"] for r in each.groupBy("tier").count().collect()}
+    groups = {t: -(-n.get(t, 0) // max(1, step_tokens // t)) for t in tiers}
+    step, before = F.lit(None).cast("long"), 0
+    turn = F.row_number().over(W.Window.partitionBy("tier").orderBy(F.desc("held"), "window")).cast("long") - 1
+    for t in sorted(tiers, reverse=True):
+        g = groups[t]
+        if g:
+            to = F.col("turn") % (2 * g)
+            step = F.when(F.col("tier") == t, F.when(to < g, to).otherwise(2 * g - 1 - to) + before).otherwise(step)
+        before += g
+    steps = each.withColumn("turn", turn).select("window", step.alias("step"))
+    return pieces.drop("held").join(steps, "window").select("doc_id", "piece", "start", "n_tokens", "tier", "window", "offset", "step")
