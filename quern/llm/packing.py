@@ -30,12 +30,13 @@ def tokens(text: Column) -> Column:
     return F.when(size > 0, F.ceil(size / F.lit(BYTES_PER_TOKEN)).cast("long") + 1).otherwise(F.lit(0).cast("long"))
 
 
-def tokenised(docs: DataFrame) -> DataFrame:
+def tokenised(docs: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFrame:
     """doc_id and n_tokens: the byte-level BPE's tokens of the text and one that ends the document; 0 for a null or empty text.
 
     Written once, so that packing doesn't tokenise again each time it looks at lengths."""
-    n = F.size(F.coalesce("ids", F.array().cast("array<int>"))).cast("long")
-    return table(bpe.encode(docs.select("doc_id", "text")).select("doc_id", F.when(n > 0, n + 1).otherwise(F.lit(0).cast("long")).alias("n_tokens")), "lengths")
+    n = bpe.n_tokens(F.col("text"), ranks or bpe.load_ranks())
+    counted = docs.select("doc_id", "text").withColumn("n_tokens", n)
+    return table(counted.select("doc_id", F.when(F.col("n_tokens") > 0, F.col("n_tokens") + 1).otherwise(F.lit(0).cast("long")).alias("n_tokens")), "lengths")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
