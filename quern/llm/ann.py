@@ -10,16 +10,20 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from quern.llm.common import load_array, posix, ragged, save_array, shared_folder, table
+from quern.llm.common import blobs, joined, load_array, once, posix, ragged, save_array, shared_folder, table
 from quern.llm.lines import mix
-from quern.llm.lm import blobs, joined
 
-#: Hash tables, projections of a table, width of a bucket in units of the data's spread, and buckets probed in a table.
-TABLES, PROJECTIONS, WIDTH, PROBES = 24, 16, 3.2, 200
+#: Hash tables, projections of a table, and buckets probed in a table.
+TABLES, PROJECTIONS, PROBES = 24, 16, 400
 NEIGHBOURS = 10
-#: Vectors in a file, entries in a shard of a table, and queries in a task's row.
-PART, SHARD, BLOCK = 250_000, 1_000_000, 256
+#: Sampled queries whose neighbours are found exactly to fit the width of a bucket, the share of them it must find, and
+#: the widths tried, in units of the sampled queries' median distance of the last neighbour.
+SAMPLE, RECALL = 64, 0.95
+WIDTHS = tuple(0.25 * 1.07**k for k in range(63))
+#: Vectors in a file, entries in a shard of a table, and vectors in a task's row.
+PART, SHARD, BLOCK = 250_000, 1_000_000, 4096
 
 
 def perturbations(projections: int, probes: int) -> list[tuple[int, ...]]:
@@ -45,8 +49,8 @@ class Hashes:
     def __init__(self, dims: int, width: float, tables: int, projections: int, probes: int):
         rng = np.random.default_rng(7)
         self.tables, self.k, self.width = tables, projections, width
-        self.a = rng.normal(size=(dims, tables * projections)).astype(np.float32)
-        self.b = rng.uniform(0, 1, tables * projections).astype(np.float32)
+        self.a = rng.normal(size=(dims, tables * projections))
+        self.b = rng.uniform(0, 1, tables * projections)
         self.odd = rng.integers(0, 2**63, projections, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         sets = perturbations(projections, probes)
         self.moves = np.zeros((len(sets), 2 * projections), np.uint64)
@@ -54,7 +58,8 @@ class Hashes:
             self.moves[row, list(places)] = 1
 
     def places(self, x: np.ndarray) -> np.ndarray:
-        return (x @ self.a / np.float32(self.width) + self.b).reshape(len(x), self.tables, self.k)
+        at = x.astype(np.float64) @ self.a / self.width + self.b
+        return np.clip(at, -(2.0**62), 2.0**62).reshape(len(x), self.tables, self.k)  # beyond, all lie in one bucket
 
     def sums(self, floors: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -104,75 +109,132 @@ class Store:
                     found.append(self.array(f"t{t << self.bits | s}.rows")[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())])
         return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
-    def nearest(self, x: np.ndarray, own: int, k: int) -> list[tuple[float, int, int]]:
-        """(distance, id, row) of the k nearest candidates but for the row itself, ties by id and row."""
+    def nearest(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, distances) of the k nearest rows among the candidates' copies, ties by id."""
         rows = self.candidates(x)
-        rows = rows[rows != own]
-        best: list[tuple[float, int, int]] = []
-        for part in np.unique(rows >> 32).tolist():
-            at = rows[(rows >> 32) == part] & 0xFFFFFFFF
-            vectors, ids = self.array(f"p{part}.vectors"), self.array(f"p{part}.ids")
-            rough = self.array(f"p{part}.squares")[at] - 2 * (vectors[at] @ x)
-            if len(at) > k:
-                bound = np.partition(rough, k - 1)[k - 1]
-                at = at[rough <= bound + 1e-3 * max(1.0, abs(float(bound)))]
-            exact = np.sqrt(((vectors[at].astype(np.float64) - x.astype(np.float64)) ** 2).sum(axis=1))
-            best += zip(exact.tolist(), ids[at].tolist(), ((part << 32) | at).tolist())
-        return heapq.nsmallest(k, best)
-
-
-_stores: dict[str, Store] = {}
-
-
-def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, probes: int = PROBES) -> DataFrame:
-    """(vec_id, neighbour_id, rank, distance): for every row of ``vectors`` (vec_id, embedding) its ``k`` nearest others.
-
-    Each table buckets the floor of ``projections`` Gaussian projections, whose width is a multiple of the data's
-    spread (the root of the mean squared distance from the mean, over all vectors). A query probes its own bucket
+        found = [nearest(x, k, rows[(rows >> 32) == p] & 0xFFFFFFFF, *(self.array(f"p{p}.{n}") for n in ("vectors", "squares", "ids", "offsets")))[:2] for p in np.unique(rows >> 32).tolist()]
+        ids, distances = (np.concatenate([f[j] for f in found]) if found else np.zeros(0) for j in (0, 1))
+        order = np.lexsort((ids, distances))[:k]
+        return ids[order], distances[order]
+
+
+def nearest(x: np.ndarray, k: int, at: np.ndarray | slice, vectors: np.ndarray, squares: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, distances, places) of the k nearest of the copies of the vectors at these places, ties by id."""
+    rough = squares[at] - 2 * (vectors[at] @ x)
+    at = np.arange(len(vectors)) if isinstance(at, slice) else at
+    if len(at) > k:  # close to the bound, single precision can't tell
+        bound = float(np.partition(rough, k - 1)[k - 1])
+        slack = 1e-5 * (float(np.abs(squares[at]).max()) + float(x @ x))
+        at = at[~(rough > bound + slack)]  # what overflows stays
+    exact = np.sqrt(((vectors[at].astype(np.float64) - x.astype(np.float64)) ** 2).sum(axis=1))
+    n = offsets[at + 1] - offsets[at]
+    own = np.asarray(ids[np.repeat(offsets[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+    exact, at = np.repeat(exact, n), np.repeat(at, n)
+    order = np.lexsort((own, exact))[:k]
+    return own[order], exact[order], at[order]
+
+
+def fitted(x: np.ndarray, neighbours: list[np.ndarray], last: np.ndarray, make) -> Hashes:
+    """Hashes of the least width at which the sampled queries find RECALL of their neighbours; the largest if none does."""
+    unit = float(np.median(last[last > 0])) if (last > 0).any() else 1.0
+
+    def enough(width: float) -> bool:
+        hashes, found = make(unit * width), 0
+        for q, near in zip(x, neighbours):
+            own, keys = hashes.probes(q), hashes.buckets(near)
+            found += int((keys[:, :, None] == own[None]).any(axis=(1, 2)).sum())
+        return found >= RECALL * sum(map(len, neighbours))
+
+    low, high = 0, len(WIDTHS) - 1  # wider buckets find more
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if enough(WIDTHS[middle]) else (middle + 1, high)
+    return make(unit * WIDTHS[low])
+
+
+def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, every: int = 1, tables: int = TABLES, projections: int = PROJECTIONS, width: float | None = None, probes: int = PROBES) -> DataFrame:
+    """(vec_id, neighbour_id, rank, distance): for rows of ``vectors`` (vec_id, embedding) whose id is divisible by ``every``, all rows at 1, the ``k`` nearest other rows.
+
+    Each table buckets the floor of ``projections`` Gaussian projections. A query probes its own bucket
     and those beyond the nearest borders, in order of estimated success; what all tables give is ranked by exact
-    distance, ties by id. No candidate is dropped, so a query of few neighbours in reach has fewer than ``k``.
-
-    Every row is a query and a candidate, repeated ones and those of null ids too.
-    Null or empty vectors, ones with null, infinite or NaN values, and ones whose length isn't the most
-    common (the larger of equally common ones) take no part. Other columns don't matter. No rows give none."""
+    distance, ties by id. The buckets' ``width`` is fit to the data unless it is given: for a sample of at most SAMPLE
+    queries, those of least hash, neighbours are found exactly among all rows, and the least of WIDTHS at which the
+    tables find RECALL of them is taken, so that buckets get narrower as neighbours get nearer. No candidate is dropped, so
+    a query of few neighbours in reach has fewer than ``k``.
+
+    Equal vectors are indexed once, with the ``k`` + 1 least ids that have them: no other can be among anyone's ``k`` nearest,
+    as ties go by id. So a vector that many rows share costs no more than one. Repeated rows and those of null ids are
+    candidates each for themselves, and queries if ``every`` is 1; a null id comes before others in ties.
+    Null or empty vectors, ones with null, NaN or values that aren't finite in single precision, and ones whose length
+    isn't the most common (the larger of equally common ones) take no part. Other columns don't matter. No rows give none."""
     spark = vectors.sparkSession
     e = F.col("embedding").cast("array<float>")
-    sound = vectors.select(F.col("vec_id").cast("long").alias("id"), e.alias("v")).where((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(1e18))))
+    none = np.iinfo(np.int64).min
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    sound = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(none)).alias("id"), e.alias("v")).where((F.size("v") > 0) & finite)
     common = sound.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
-    schema = "vec_id long, neighbour_id long, rank int, distance double"
     if common is None:
-        return spark.createDataFrame([], schema)
-    dims, n = common
+        return spark.createDataFrame([], "vec_id long, neighbour_id long, rank int, distance double")
+    dims = common[0]
     sound = sound.where(F.size("v") == dims)
+    queries = sound.where((F.col("id") % every == 0) & (F.col("id") != none)) if every > 1 else sound
     folder = posix(shared_folder(spark, "ann"))
+    # the window's limit on ranks is applied before the shuffle too, so no task gets all of a vector's rows
+    least = sound.withColumn("n", F.row_number().over(W.Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    asked = queries.select("v").distinct().withColumn("asked", F.lit(True))
+    distinct = table(least.join(asked, "v", "left").select("v", "ids", F.coalesce("asked", F.lit(False)).alias("asked")), "vectors")
+    n = distinct.count()
     parts = max(1, -(-n // PART))
     bits = max(0, int(np.ceil(np.log2(n / SHARD))))
 
     def write(batches):
-        ids, rows = [], []
-        for b in batches:
-            ids.append(np.where(np.asarray(b.column(0).is_null()), np.iinfo(np.int64).min, b.column(0).fill_null(0).to_numpy(zero_copy_only=False)))
-            rows.append(ragged(b.column(1))[0].reshape(-1, dims))
-        if not ids:
+        got = pa.Table.from_batches(batches)
+        if not got.num_rows:
             return
         part = TaskContext.get().partitionId()
-        x, i = np.concatenate(rows).astype(np.float32), np.concatenate(ids)
-        order = np.lexsort((*x.T[:2], i))  # the same files whichever way the rows arrive, but for equal rows
-        x, i = x[order], i[order]
+        x = ragged(got["v"])[0].reshape(-1, dims).astype(np.float32)
+        order = np.lexsort(x.T)  # the same files whichever way the rows arrive
+        ids, offsets = ragged(got["ids"].take(pa.array(order)))
+        x, squares = x[order], (x[order].astype(np.float64) ** 2).sum(axis=1)
         os.makedirs(folder, exist_ok=True)
-        for name, array in (("vectors", x), ("squares", (x.astype(np.float64) ** 2).sum(axis=1).astype(np.float32)), ("ids", i)):
-            save_array(f"{folder}/p{part}.{name}.npy", array)
-        yield pa.RecordBatch.from_pydict({"part": [part], "n": [len(i)], "sum": [x.sum(axis=0, dtype=np.float64)], "squares": [float((x.astype(np.float64) ** 2).sum())]})
+        with np.errstate(over="ignore"):
+            for name, array in (("vectors", x), ("squares", squares.astype(np.float32)), ("ids", ids), ("offsets", offsets), ("asked", got["asked"].to_numpy()[order])):
+                save_array(f"{folder}/p{part}.{name}.npy", array)
+        yield pa.RecordBatch.from_pydict({"part": [part], "n": [len(x)]})
 
-    told = table(sound, "vectors").repartition(parts).mapInArrow(write, "part long, n long, sum array<double>, squares double").collect()  # a row a part
-    mean = np.sum([np.array(r[2]) for r in told], axis=0) / n
-    spread = float(np.sqrt(max(sum(r[3] for r in told) / n - (mean**2).sum(), 1e-12)))
-    hashes = Hashes(dims, width * spread, tables, projections, probes)
+    told = distinct.repartition(parts, F.xxhash64("v", F.lit(1))).mapInArrow(write, "part long, n long").collect()  # a row a part
+
+    def blocks(size: int) -> DataFrame:
+        rows = spark.createDataFrame([(r[0], r[1]) for r in told], "part long, n long")
+        each = rows.select("part", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(size).cast("long"))).alias("a"))
+        each = each.select("part", "a", F.least(F.col("a") + size, F.col("n")).alias("z"))
+        return each.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 20_000), "part", "a")
+
+    load = lambda part, names, a, z: [load_array(f"{folder}/p{part}.{x}.npy")[a:z] for x in names]
+
+    def fit() -> Hashes:
+        sample = distinct.where("asked").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v").collect()
+        x = np.array([r.v for r in sample], np.float32).reshape(-1, dims)
+
+        def exact(batches):
+            for b in batches:
+                for part, a, z in zip(*(b.column(c).to_pylist() for c in range(3))):
+                    near, squares = load(part, ("vectors", "squares"), a, z)
+                    for q in range(len(x)):
+                        _, d, at = nearest(x[q], k, slice(None), near, squares, np.arange(len(near)), np.arange(len(near) + 1))
+                        yield pa.RecordBatch.from_pydict({"q": np.full(len(at), q), "d": d, "v": list(near[at])}, schema=pa.schema([("q", pa.int64()), ("d", pa.float64()), ("v", pa.list_(pa.float32()))]))
+
+        found = blocks(PART).mapInArrow(exact, "q long, d double, v array<float>").where("d > 0")
+        found = found.withColumn("n", F.row_number().over(W.Window.partitionBy("q").orderBy("d", "v"))).where(F.col("n") <= k).toPandas()  # bounded by SAMPLE and k
+        groups = [np.array(g.v.tolist(), np.float32).reshape(-1, dims) for q, g in found.groupby("q")]
+        return fitted(x[sorted(found.q.unique())], groups, found.groupby("q").d.max().to_numpy(), lambda w: Hashes(dims, w, tables, projections, probes))
+
+    hashes = fit() if width is None else Hashes(dims, width, tables, projections, probes)
 
     def bucket(batches):
         for b in batches:
             for part, a, z in zip(*(b.column(c).to_pylist() for c in range(3))):
-                keys = hashes.buckets(np.asarray(load_array(f"{folder}/p{part}.vectors.npy")[a:z]))
+                keys = hashes.buckets(load(part, ("vectors",), a, z)[0])
                 rows = np.arange(a, z) + (part << 32)
                 for t in range(tables):
                     order = np.argsort(keys[:, t])
@@ -188,28 +250,21 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, tables: int = TABLES, pr
         save_array(f"{folder}/t{s}.keys.npy", keys[order])
         return pa.table({"n": [len(keys)]})
 
-    def blocks(size: int) -> DataFrame:
-        rows = spark.createDataFrame([(r[0], r[1]) for r in told], "part long, n long")
-        each = rows.select("part", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(size).cast("long"))).alias("a"))
-        each = each.select("part", "a", F.least(F.col("a") + size, F.col("n")).alias("z"))
-        return each.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 20_000), "part", "a")
-
     blocks(20_000).mapInArrow(bucket, "shard long, b0 binary, b1 binary").groupBy("shard").applyInArrow(build, "n long").agg(F.sum("n")).collect()
 
     def search(batches):
-        if folder not in _stores:
-            _stores.clear()
-            _stores[folder] = Store(folder, hashes, bits)
-        store = _stores[folder]
-        none = np.iinfo(np.int64).min
+        store = once("ann", folder, lambda: Store(folder, hashes, bits))
         for b in batches:
             for part, a, z in zip(*(b.column(c).to_pylist() for c in range(3))):
-                out: list[tuple] = []
-                x, ids = store.array(f"p{part}.vectors"), store.array(f"p{part}.ids")
-                for r in range(a, z):
-                    for rank, (distance, other, _) in enumerate(store.nearest(np.asarray(x[r]), (part << 32) | r, k), 1):
-                        out.append((int(ids[r]), other, rank, distance))
-                cols = list(zip(*out)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array([None if i == none else i for i in cols[0]], pa.int64()), pa.array([None if i == none else i for i in cols[1]], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.float64())], names=["vec_id", "neighbour_id", "rank", "distance"])
-
-    return blocks(BLOCK).mapInArrow(search, schema)
+                x = store.array(f"p{part}.vectors")
+                asked = a + np.flatnonzero(store.array(f"p{part}.asked")[a:z])
+                found = [store.nearest(np.asarray(x[r]), k + 1) for r in asked]
+                schema = pa.schema([("v", pa.list_(pa.float32())), ("ids", pa.list_(pa.int64())), ("distances", pa.list_(pa.float64()))])
+                yield pa.RecordBatch.from_pydict({"v": [x[r] for r in asked], "ids": [f[0] for f in found], "distances": [f[1] for f in found]}, schema=schema)
+
+    found = blocks(BLOCK).mapInArrow(search, "v array<float>, ids array<long>, distances array<double>")
+    # a query's own row is the first of its id at distance 0, if it is among the k + 1
+    own = F.array_position(F.transform("ids", lambda i, j: F.when((F.get("distances", j) == 0) & (i == F.col("id")), 1).otherwise(0)), 1).cast("int") - 1
+    listed = queries.join(found, "v").withColumn("own", own).select("id", F.slice(F.filter(F.arrays_zip("ids", "distances"), lambda _, j: j != F.col("own")), 1, k).alias("near"))
+    null = lambda c: F.when(c != none, c)
+    return listed.select("id", F.posexplode("near").alias("at", "x")).select(null(F.col("id")).alias("vec_id"), null(F.col("x.ids")).alias("neighbour_id"), (F.col("at") + 1).cast("int").alias("rank"), F.col("x.distances").alias("distance"))
