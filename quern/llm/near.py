@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import let, ragged, table, words
+from quern.llm.common import fresh, let, ragged, table, words
 from quern.llm.components import components
 from quern.llm.lines import mix
 
@@ -59,31 +59,55 @@ def chunk_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count(x[:, 0] >> np.uint64(32)), np.bitwise_count(x[:, 0] & low), np.bitwise_count(x[:, 1] >> np.uint64(32)), np.bitwise_count(x[:, 1] & low)], axis=1)
 
 
-def run_edges(sig: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join the members of a run as all its pairs within ``most`` would."""
-    label = np.arange(len(node))
+def links_here(sig: np.ndarray, node: np.ndarray, tag: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
+    """How many of the rows ``j`` of a run are near each of the rows ``i`` and meet it at this chunk and key by the rule of run_pairs."""
+    first, fi, fj = node[i][:, None] < node[j][None], tag[i][:, None] % 33, tag[j][None] % 33
+    here = (np.where(first, fi < fj, fj < fi) | ((fi == 0) & (fj == 0))) & (node[i][:, None] != node[j][None])
+    a, b = np.nonzero(here & (distance(sig[i][:, None], sig[j][None]) <= most))
+    a = a[np.argmax(chunk_distances(sig[i[a]], sig[j[b]]) <= RADIUS, axis=1) == tag[i[a]] // 33]
+    return np.bincount(a, minlength=len(i))
+
+
+def run_edges(sig: np.ndarray, node: np.ndarray, tag: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges that join the members of a run as all its pairs within ``most`` would, and how many of these pairs each member has that count here.
+
+    ``tag`` says for each row which bit is flipped; of a pair that meets at several keys one key counts, that at which the
+    node of lower number has the lower flip."""
+    n = len(node)
+    label, links = np.arange(n), np.zeros(n, np.int64)
+    for a in range(0, n, 256):
+        i = np.arange(a, min(a + 256, n))
+        for b in range(0, n, 4096):
+            links[i] += links_here(sig, node, tag, i, np.arange(b, min(b + 4096, n)), most)
     while True:
         before = label.copy()
-        for s in range(0, len(node), 256):
+        for s in range(0, n, 256):
             near = distance(sig[s : s + 256, None, :], sig[None, :, :]) <= most
-            best = np.where(near, label[None, :], len(node)).min(axis=1)
+            best = np.where(near, label[None, :], n).min(axis=1)
             label[s : s + 256] = np.minimum(label[s : s + 256], best)
-            reached = np.where(near, best[:, None], len(node)).min(axis=0)
+            reached = np.where(near, best[:, None], n).min(axis=0)
             label = np.minimum(label, reached)
         label = label[label]
         if (label == before).all():
-            other = label != np.arange(len(node))
-            return node[other], node[label[other]]
+            other = label != np.arange(n)
+            return node[other], node[label[other]], links
+
+
+def run_pairs(keys: np.ndarray, sig: np.ndarray, node: np.ndarray, tag: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, links of u, links of v) among rows of equal key, which are sorted by it: a pair within ``most`` gives a row by one
+    chunk and one key only, with a link for both; a run of over RUN rows gives edges without links, and its members' links."""
+    us, vs, mine, theirs = [], [], [], []
 
+    def add(u, v, m, t):
+        us.append(u), vs.append(v), mine.append(np.broadcast_to(m, u.shape)), theirs.append(np.broadcast_to(t, u.shape))
 
-def run_pairs(keys: np.ndarray, sig: np.ndarray, node: np.ndarray, tag: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within ``most`` among rows of equal key, which are sorted by it; each pair by one chunk and one key only."""
-    us, vs = [], []
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     lengths = np.diff(np.append(starts, len(keys)))
     for s, n in zip(starts[lengths > RUN].tolist(), lengths[lengths > RUN].tolist()):
-        u, v = run_edges(sig[s : s + n], node[s : s + n], most)
-        us.append(u), vs.append(v)
+        u, v, links = run_edges(sig[s : s + n], node[s : s + n], tag[s : s + n], most)
+        add(u, v, 0, 0)
+        some = links > 0
+        add(node[s : s + n][some], node[s : s + n][some], links[some], 0)
     short = (lengths <= RUN) & (lengths > 1)
     rank = np.arange(len(keys)) - np.repeat(starts, lengths)
     left = np.repeat(np.where(short, lengths, 0), lengths) - rank  # rows of the run from here on
@@ -98,20 +122,21 @@ def run_pairs(keys: np.ndarray, sig: np.ndarray, node: np.ndarray, tag: np.ndarr
         ok = distance(sig[i], sig[j]) <= most
         i, j = i[ok], j[ok]
         ok = np.argmax(chunk_distances(sig[i], sig[j]) <= RADIUS, axis=1) == tag[i] // 33
-        us.append(node[i[ok]]), vs.append(node[j[ok]])
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return join(us), join(vs)
+        add(node[i[ok]], node[j[ok]], 1, 1)
+    join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
+    return join(us), join(vs), join(mine), join(theirs)
 
 
 def signed_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, hi, lo), written; without documents of null id or without text."""
-    sign = F.arrow_udf(signed, "struct<hi:bigint,lo:bigint>").asNondeterministic()  # else the filter below would have it run twice
+    """(doc_id, hi, lo), written; without documents of null id, and null for those without text."""
+    sign = F.arrow_udf(signed, "struct<hi:bigint,lo:bigint>")
     s = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), sign(F.coalesce(shingles(F.col("text")), F.array().cast("array<long>"))).alias("s"))
-    return table(s.where("s is not null").select("doc_id", "s.hi", "s.lo"), "signatures")
+    return table(s.select("doc_id", "s.hi", "s.lo"), "signatures")
 
 
 def near_edges(nodes: DataFrame, most: int = DISTANCE) -> DataFrame:
-    """Edges (u, v) between distinct signatures (node, hi, lo) that connect all pairs of distance up to ``most``.
+    """(u, v, mine, theirs) between distinct signatures (node, hi, lo): edges that connect all pairs of distance up to ``most``, and
+    shares of the number of such pairs that u and v are in; a row of u alone has shares only.
 
     Pigeonhole: such a pair differs in at most two bits of one of the four chunks. Both list each chunk as it is
     and with every single bit flipped, so they meet at a key whose chunk lies between theirs. Rows of one key
@@ -135,31 +160,43 @@ def near_edges(nodes: DataFrame, most: int = DISTANCE) -> DataFrame:
         again[1:] |= same
         again[:-1] |= same
         sig = np.stack([hi[again].view(np.uint64), lo[again].view(np.uint64)], axis=1)
-        u, v = run_pairs(keys[again], sig, node[again], tag[again], most)
-        yield pa.RecordBatch.from_pydict({"u": u, "v": v})
+        u, v, mine, theirs = run_pairs(keys[again], sig, node[again], tag[again], most)
+        yield pa.RecordBatch.from_pydict({"u": u, "v": v, "mine": mine, "theirs": theirs})
 
-    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(join, "u long, v long")
+    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(join, "u long, v long, mine long, theirs long")
 
 
-def duplicates(docs: DataFrame, most: int = DISTANCE) -> DataFrame:
-    """(doc_id, kept_id): every document that goes, and the one of its group that stays.
+def classes(docs: DataFrame, most: int = DISTANCE) -> DataFrame:
+    """(doc_id, class_id, links, is_copy): one row a document.
 
     Two documents are near copies if their signatures, a bit of each of 128 minima over the distinct words in
-    lower case, differ in at most ``most`` bits (11: a Jaccard index of about 0.83); groups are the connected
-    components, and their least doc_id stays. Equal signatures are one node, so exact copies cost nothing more,
-    and the order of rows doesn't matter. A text without words is its own shingle; null and empty texts, and
-    rows of null id, belong to no group and stay. Rows of one doc_id are one document: it never goes for
-    itself. Very long texts are taken whole; other columns don't matter. No rows give none."""
+    lower case, differ in at most ``most`` bits (11: a Jaccard index of about 0.83). Classes are the connected
+    components, named by their least doc_id; the others are copies. ``links`` is how many other signatures are within
+    the distance of the document's own, whether or not they are listed pair by pair. Equal signatures are one node, so exact
+    copies cost nothing more, and neither do they count as links; the order of rows doesn't matter. A text without
+    words is its own shingle; null and empty texts are classes of their own, without links, and rows of null id have no
+    row. Rows of one doc_id are one document: it is in the class of least id, has the most links of its rows, and never is
+    a copy of itself. Very long texts are taken whole; other columns don't matter. No rows give none."""
     signs = signed_documents(docs)
-    nodes = table(signs.groupBy("hi", "lo").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    roots = components(near_edges(nodes, most))
-    rooted = nodes.join(roots, "node", "left").select("hi", "lo", "least", F.coalesce("root", "node").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("least").alias("kept_id"))
-    of = rooted.join(kept, "root").select("hi", "lo", "kept_id")
-    return signs.join(of, ["hi", "lo"]).where("doc_id <> kept_id").groupBy("doc_id").agg(F.min("kept_id").alias("kept_id")).where("kept_id < doc_id")
+    nodes = table(signs.where("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    edges = table(near_edges(nodes, most), "near")
+    roots = components(edges)
+    shares = edges.select("u", "mine").unionByName(edges.select(F.col("v").alias("u"), F.col("theirs").alias("mine"))).where("mine > 0")
+    links = shares.groupBy(F.col("u").alias("node")).agg(F.sum("mine").alias("links"))
+    rooted = nodes.join(roots, "node", "left").join(links, "node", "left").select("hi", "lo", "least", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
+    of = rooted.join(named, "root").select("hi", "lo", "class_id", "links")
+    each = signs.join(of, ["hi", "lo"], "left").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("links").alias("links"))
+    return each.select("doc_id", F.least("doc_id", "class_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links")).withColumn("is_copy", F.col("class_id") < F.col("doc_id"))
+
+
+def duplicates(docs: DataFrame, most: int = DISTANCE) -> DataFrame:
+    """(doc_id, kept_id): every copy that ``classes`` names, and the document of its class that stays."""
+    return classes(docs, most).where("is_copy").select("doc_id", F.col("class_id").alias("kept_id"))
 
 
 def kept(docs: DataFrame, most: int = DISTANCE) -> DataFrame:
-    """``docs`` without those that ``duplicates`` names."""
-    gone = duplicates(docs, most).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """``docs`` without the copies that ``classes`` names."""
+    (g,) = fresh(docs, "gone_")
+    gone = duplicates(docs, most).select(F.col("doc_id").alias(g))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(g), "left_anti")

@@ -45,7 +45,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.duplicates(read(spark, sf_dir, "documents"))
+    """The class of near copies of every document, and how many different signatures it is linked with."""
+    return near.classes(read(spark, sf_dir, "documents"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
