@@ -6,10 +6,11 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh, let, load_array, posix, put, ragged, save_array, shared_folder, table
+from quern.llm.common import fresh, let, load_array, once, posix, save_array, shared_folder, table
 
 #: Distinct lines that one shard holds, about.
 SHARD_LINES = 500_000
@@ -72,11 +73,8 @@ class PerfectHash:
         return out
 
 
-PARTS = ("bits", "ranks", "levels", "rest", "fingerprints", "counts", "owners")
-
-
-def fingerprint(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys, 9_999) >> np.uint64(32)).astype(np.uint32)
+#: ``apart``: the lines whose hash another line of the shard has, as rows of hash, fingerprint, count and owner.
+PARTS = ("bits", "ranks", "levels", "rest", "fingerprints", "counts", "apart", "owners")
 
 
 class Index:
@@ -94,7 +92,7 @@ class Index:
                 self.shards[n] = PerfectHash(*(parts[p] for p in PARTS[:4])), *(parts[p] for p in PARTS[4:])
         return self.shards[n]
 
-    def probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def probe(self, keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often each line occurs, 0 if it isn't indexed, and the least doc_id that has it."""
         counts, owners = np.zeros(len(keys), np.int64), np.full(len(keys), NO_ID, np.int64)
         shard = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
@@ -103,34 +101,50 @@ class Index:
         for at in np.split(order, starts[1:]) if len(keys) else []:
             if (got := self.shard(int(shard[at[0]]))) is None:
                 continue
-            which, prints, count, owner = got
+            which, known, count, apart, owner = got
             k = which.index(keys[at])
             sure = k >= 0
-            sure[sure] = prints[k[sure]] == fingerprint(keys[at[sure]])
+            sure[sure] = known[k[sure]] == prints[at[sure]]
             counts[at[sure]], owners[at[sure]] = count[k[sure]], owner[k[sure]]
+            for hash_, print_, n, first in apart.tolist():
+                same = at[(keys[at].view(np.int64) == hash_) & (prints[at] == print_)]
+                counts[same], owners[same] = n, first
         return counts, owners
 
 
+def trimmed(line: Column) -> Column:
+    """Without the spaces, tabs and carriage returns around it."""
+    return F.trim(line, F.lit(" \t\r"))
+
+
+def line_hash(line: Column) -> Column:
+    return F.xxhash64(line)
+
+
 def line_hashes(text: Column) -> Column:
-    """Hashes of the lines without spaces around them; null for a blank line."""
-    return F.transform(F.split(text, "\n", -1), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))
+    """Hash and fingerprint, which come from different functions, of the trimmed lines; null for a blank line."""
+    return F.transform(F.transform(F.split(text, "\n", -1), trimmed), lambda x: F.when(x != "", F.struct(line_hash(x).alias("line"), F.hash(x).alias("print"))))
 
 
 def index(docs: DataFrame, shard_lines: int = SHARD_LINES) -> tuple[str, int]:
     """The folder of the shards over all lines of ``docs``, and the bits of a hash that choose the shard."""
     spark = docs.sparkSession
-    lines = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("owner"), F.explode(line_hashes(F.col("text"))).alias("line")).where("line is not null")
-    lines = table(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("owner")), "lines")
+    lines = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("owner"), F.explode(line_hashes(F.col("text"))).alias("l")).where("l is not null").select("owner", "l.line", "l.print")
+    lines = table(lines.groupBy("line", "print").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("owner")), "lines")
     bits = max(0, int(np.ceil(np.log2(max(1, lines.count()) / shard_lines))))
     folder = posix(shared_folder(spark, "line-index"))
 
     def build(key, got):
         n = key[0].as_py()
-        keys = got["line"].to_numpy().view(np.uint64)
+        order = np.lexsort((got["print"].to_numpy(), got["line"].to_numpy()))
+        hashes, prints, counts, owners = (got[c].to_numpy()[order] for c in ("line", "print", "n", "owner"))
+        again = np.append(False, hashes[1:] == hashes[:-1])
+        apart = np.stack([x[again].astype(np.int64) for x in (hashes, prints, counts, owners)], axis=1)
+        keys, prints, counts, owners = hashes[~again].view(np.uint64), prints[~again], counts[~again], owners[~again]
         which = PerfectHash.build(keys)
         at = which.index(keys)
-        arrays = {"bits": which.bits, "ranks": which.ranks, "levels": which.levels, "rest": which.rest}
-        for name, values in (("fingerprints", fingerprint(keys)), ("counts", np.minimum(got["n"].to_numpy(), 2**32 - 1).astype(np.uint32)), ("owners", got["owner"].to_numpy())):
+        arrays = {"bits": which.bits, "ranks": which.ranks, "levels": which.levels, "rest": which.rest, "apart": apart}
+        for name, values in (("fingerprints", prints), ("counts", counts.astype(np.min_scalar_type(int(counts.max(initial=0))))), ("owners", owners)):
             arrays[name] = np.empty_like(values)
             arrays[name][at] = values
         os.makedirs(folder, exist_ok=True)
@@ -146,33 +160,34 @@ def index(docs: DataFrame, shard_lines: int = SHARD_LINES) -> tuple[str, int]:
 def dedup(docs: DataFrame, shard_lines: int = SHARD_LINES) -> DataFrame:
     """``docs`` with later copies of lines taken out of ``text``, and ``lines_removed`` (int).
 
-    A line counts without spaces around it; blank lines stay and count for nothing. Of a line that occurs more
+    A line counts without the spaces, tabs and carriage returns around it; blank lines stay and count for nothing. Of a line that occurs more
     than once, the first occurrence in the document of least doc_id stays, whatever the order of rows. Rows of
     one doc_id count as one document, so each of them keeps what that document keeps; rows of null ids count
     as one document after all others. A null text stays null, with 0 removed; an empty one stays empty.
     Columns named lines_removed are replaced; all others stay."""
     folder, bits = index(docs, shard_lines)
-    known: dict[str, Index] = {}
 
     @F.arrow_udf("array<boolean>")
     def kept(hashes: pa.Array, ids: pa.Array) -> pa.Array:
-        lines = known.setdefault(folder, Index(folder, bits))
-        null = np.asarray(hashes.flatten().is_null())
-        values, offsets = ragged(hashes)
-        filled = hashes.flatten().fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        lines = once("lines", folder, lambda: Index(folder, bits))
+        each = hashes.flatten()
+        null = np.asarray(each.is_null())
+        offsets = np.asarray(hashes.offsets).astype(np.int64) - hashes.offsets[0].as_py()
+        field = lambda name: pc.struct_field(each, name).fill_null(0).to_numpy(zero_copy_only=False)
+        filled, prints = field("line").view(np.uint64), field("print")
         counts, owners = np.zeros(len(filled), np.int64), np.zeros(len(filled), np.int64)
-        counts[~null], owners[~null] = lines.probe(filled[~null])
+        counts[~null], owners[~null] = lines.probe(filled[~null], prints[~null])
         doc = np.repeat(np.arange(len(hashes)), np.diff(offsets))
         mine = np.repeat(ids.fill_null(NO_ID).to_numpy(zero_copy_only=False), np.diff(offsets))
         keep = (counts <= 1) | (owners == mine)
         again = np.flatnonzero((counts > 1) & keep)
-        first = np.lexsort((again, filled[again], doc[again]))
-        same = np.concatenate([[False], (filled[again][first][1:] == filled[again][first][:-1]) & (doc[again][first][1:] == doc[again][first][:-1])]) if len(again) else np.zeros(0, bool)
+        first = np.lexsort((again, prints[again], filled[again], doc[again]))
+        same = np.append(False, np.logical_and.reduce([x[again][first][1:] == x[again][first][:-1] for x in (filled, prints, doc)])) if len(again) else np.zeros(0, bool)
         keep[again[first[same]]] = False
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keep))
 
     k, t, n = fresh(docs, "keep_", "text_", "removed_")
-    marked = docs.withColumn(k, kept(F.coalesce(line_hashes(F.col("text")), F.array().cast("array<long>")), F.col("doc_id").cast("long")))
+    marked = docs.withColumn(k, kept(F.coalesce(line_hashes(F.col("text")), F.array().cast("array<struct<line:bigint,print:int>>")), F.col("doc_id").cast("long")))
     mask = F.col(f"`{k}`")
     left = let(F.split(F.col("text"), "\n", -1), lambda a: F.array_join(F.filter(a, lambda _, i: F.get(mask, i)), "\n"))
     removed = F.size(F.filter(mask, lambda x: ~x))
@@ -183,4 +198,4 @@ def dedup(docs: DataFrame, shard_lines: int = SHARD_LINES) -> DataFrame:
 
 def emptied(text: Column, removed: Column) -> Column:
     """Whether all that a document said is said before."""
-    return (removed > 0) & (F.trim(F.regexp_replace(text, r"\n", " ")) == "")
+    return (removed > 0) & (F.trim(text, F.lit(" \t\r\n")) == "")

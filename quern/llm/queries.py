@@ -65,10 +65,10 @@ SQL = {
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
             FROM documents),
         ranked AS (
-            SELECT *, row_number() OVER (PARTITION BY trim(line) ORDER BY doc_id NULLS LAST, pos) AS k FROM lines),
+            SELECT *, row_number() OVER (PARTITION BY trim(line, ' ' || chr(9) || chr(13)) ORDER BY doc_id NULLS LAST, pos) AS k FROM lines),
         kept AS (
-            SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE k = 1 OR trim(line) = '') AS text,
-                   count(*) FILTER (WHERE k > 1 AND trim(line) <> '') AS n
+            SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE k = 1 OR trim(line, ' ' || chr(9) || chr(13)) = '') AS text,
+                   count(*) FILTER (WHERE k > 1 AND trim(line, ' ' || chr(9) || chr(13)) <> '') AS n
             FROM ranked GROUP BY doc_id)
         SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, CAST(coalesce(k.n, 0) AS INTEGER) AS lines_removed
         FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id""",

@@ -10,13 +10,13 @@ def brute(rows):
     first = {}
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         for n, line in enumerate((t or "").split("\n")):
-            if line.strip(" "):
-                first.setdefault(line.strip(" "), i)
+            if line.strip(" \t\r"):
+                first.setdefault(line.strip(" \t\r"), i)
     out = []
     for i, t in rows:
         kept, seen, gone = [], set(), 0
         for line in (t or "").split("\n"):
-            key = line.strip(" ")
+            key = line.strip(" \t\r")
             if key and (first[key] != i or key in seen):
                 gone += 1
             else:
@@ -29,7 +29,7 @@ def brute(rows):
 @pytest.mark.parametrize("shard_lines", [500_000, 20])
 def test_brute_force(docs_of, shard_lines):
     rng = np.random.default_rng(1)
-    rows = [(int(i), "\n".join(f"line {rng.integers(0, 60)}" + " " * int(rng.integers(0, 2)) if rng.random() < 0.8 else "" for _ in range(rng.integers(0, 12)))) for i in range(80)]
+    rows = [(int(i), "\n".join(f"line {rng.integers(0, 60)}" + rng.choice(["", " ", "\r", "\t\r"]) if rng.random() < 0.8 else "" for _ in range(rng.integers(0, 12)))) for i in range(80)]
     got = sorted(((r.doc_id, r.text, r.lines_removed) for r in lines.dedup(docs_of(rows), shard_lines).collect()), key=str)
     assert got == brute(rows)
 
@@ -57,3 +57,11 @@ def test_rest_of_the_levels(monkeypatch):
     h = lines.PerfectHash.build(keys)
     assert len(h.rest) and sorted(h.index(keys).tolist()) == list(range(len(keys)))
     assert (h.index(keys + np.uint64(1))[np.isin(keys + np.uint64(1), keys, invert=True)] < len(keys)).all()
+
+
+def test_lines_that_share_a_hash(docs_of, monkeypatch):
+    """Fingerprints come from another function, so that such lines are told apart."""
+    monkeypatch.setattr(lines, "line_hash", lambda x: F.pmod(F.xxhash64(x), F.lit(7)))
+    rows = [(i, "\n".join(f"line {(i * k) % 23}" for k in range(1, 6))) for i in range(30)]
+    got = sorted(((r.doc_id, r.text, r.lines_removed) for r in lines.dedup(docs_of(rows), 20).collect()), key=str)
+    assert got == brute(rows)
