@@ -39,7 +39,8 @@ def xxh64(text: Column) -> Column:
 
 def squeezed(text: Column) -> Column:
     """White space of any kind and length as one space, none at the ends."""
-    return F.btrim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
+    # a single space needs no replacing, and texts have little else
+    return F.btrim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]{2,}|[\s\x1c-\x1f&&[^ ]]", " "))
 
 
 def content_hash(text: Column, normalize: bool = True) -> Column:

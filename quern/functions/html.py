@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.text import stripped
+
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "))
 
 
@@ -17,7 +19,7 @@ def text(html: Column) -> Column:
     out = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", "")
     out = F.regexp_replace(out, r"(?is)<style[^>]*>.*?</style>", "")
     out = F.regexp_replace(F.regexp_replace(out, r"<[^>]+>", "\n"), r"\n\s*\n", "\n\n")
-    return F.regexp_replace(out, r"^\s+|\s+$", "")
+    return stripped(out)
 
 
 def clean(x: Column) -> Column:

@@ -9,26 +9,30 @@ from pyspark.sql import functions as F
 
 #: Markdown's marks and what stays of them; the order is part of the result.
 MARKDOWN = (
-    (r"(?s)```.*?```", ""), (r"`([^`]+)`", "$1"), (r"!\[([^\]]*)\]\([^)]+\)", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"(?md)^#{1,6}\s+", ""),
-    (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"__([^_]+)__", "$1"), (r"_([^_]+)_", "$1"), (r"(?md)^[-*_]{3,}\s*$", ""),
-    (r"(?md)^\s*[-*+]\s+", ""), (r"(?md)^\s*\d+\.\s+", ""), (r"\n{3,}", "\n\n"), (r" +", " "),
+    (r"(?s)```.*?```", ""), (r"`[^`]+`", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"(?md)^#{1,6}\s+", ""),
+    (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"__([^_]+)__", "$1"), (r"_([^_]+)_", "$1"), (r"(?md)^[-*_]{3,}$", ""),
+    (r"(?md)^\s*[-*+]\s+", ""), (r"(?md)^\s*\d+\.\s+", ""), (r"\n{3,}", "\n\n"), (r" {2,}", " "),
 )
 ENGLISH = ("the", "and", "is", "are", "was", "were", "have", "has")
 REDACTIONS = (
-    ("[EMAIL]", r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"), ("[PHONE]", r"(?U)\b\d{3}[-.]?\d{3}[-.]?\d{4}\b"),
-    ("[SSN]", r"(?U)\b\d{3}-\d{2}-\d{4}\b"), ("[CARD]", r"(?U)\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b"),
+    ("[EMAIL REDACTED]", r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"), ("[PHONE REDACTED]", r"(?U)\b\d{3}[-.]?\d{3}[-.]?\d{4}\b"),
+    ("[SSN REDACTED]", r"(?U)\b\d{3}-\d{2}-\d{4}\b"), ("[CARD REDACTED]", r"(?U)\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b"),
 )
 
 
 def plain(markdown: Column) -> Column:
     for pattern, to in MARKDOWN:
         markdown = F.regexp_replace(markdown, pattern, to)
-    return F.regexp_replace(markdown, r"^\s+|\s+$", "")
+    return stripped(markdown)
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at its ends."""
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def word_count(text: Column) -> Column:
-    t = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, r"\s+"))).cast("long")
+    return F.regexp_count(text, F.lit(r"\S+")).cast("long")
 
 
 def language_hint(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import window as W
 
 from quern.functions import text as T
 from quern.functions import urls
+from quern.sources.crawl import written
 
 SAFE = {"ignoreNullFields": "false"}
 
@@ -48,9 +49,24 @@ def breadcrumbs(url: Column) -> Column:
 
 
 def neighbours(docs: DataFrame, *order: str, url: str = "url", within: str | None = None) -> DataFrame:
-    """``docs`` with prev_url and next_url in that order."""
-    w = (W.Window.partitionBy(within) if within else W.Window.partitionBy()).orderBy(*order)
-    return docs.withColumn("prev_url", F.lag(url).over(w)).withColumn("next_url", F.lead(url).over(w))
+    """``docs`` with prev_url and next_url in that order, and prev_title and next_title if they have titles.
+
+    Without ``within`` all rows are one sequence: they are written in ranges of the order, each of which is numbered and
+    looked through by itself, and the ranges' ends, a row each, are joined to one another."""
+    names = [c for c in (url, "title") if c in docs.columns]
+    label = {url: "url", "title": "title"}
+    if within:
+        w = W.Window.partitionBy(within).orderBy(*order)
+        return docs.withColumns({f"prev_{label[c]}": F.lag(c).over(w) for c in names} | {f"next_{label[c]}": F.lead(c).over(w) for c in names})
+    ranged = written(docs.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    w = W.Window.partitionBy("__range").orderBy(*order)
+    sides = F.struct(*[F.col(c) for c in names])
+    each = ranged.withColumns({"__prev": F.lag(sides).over(w), "__next": F.lead(sides).over(w)})
+    first, last = (each.where(f"{c} IS NULL").select("__range", sides.alias("end")) for c in ("__prev", "__next"))
+    whole = W.Window.partitionBy().orderBy("__range")  # a row a range
+    ends = first.withColumnRenamed("end", "a").join(last.withColumnRenamed("end", "z"), "__range").select("__range", F.lag("z").over(whole).alias("before"), F.lead("a").over(whole).alias("after"))
+    out = each.join(ends, "__range").withColumns({"__prev": F.coalesce("__prev", "before"), "__next": F.coalesce("__next", "after")})
+    return out.withColumns({f"{side}_{label[c]}": F.col(f"__{side}.{c}") for side in ("prev", "next") for c in names}).drop("__range", "__prev", "__next", "before", "after")
 
 
 def index(docs: DataFrame) -> DataFrame:
@@ -126,16 +142,42 @@ def write_single_page(docs: DataFrame, path: str, title: str = "Contents", toc:
         rows.unpersist()
 
 
+def navigation(docs: DataFrame) -> Column:
+    """Links to the files before and after a document that has prev_url and next_url, with titles if it has prev_title and next_title; empty for none."""
+
+    def link(side: str, label: str) -> Column:
+        url = F.col(f"{side}_url")
+        name = F.coalesce(F.col(f"{side}_title"), page_title(url)) if f"{side}_title" in docs.columns else page_title(url)
+        return F.when(url.isNotNull(), F.concat(F.lit(f"**{label}:** ["), name, F.lit("]("), relative(urls.output_path(F.col("url")), urls.output_path(url)), F.lit(")")))
+
+    if "prev_url" not in docs.columns:
+        return F.lit("")
+    both = F.concat_ws(" | ", link("prev", "Previous"), link("next", "Next"))
+    return F.when(both != "", F.concat(F.lit("\n\n---\n"), both)).otherwise("")
+
+
 def pages(docs: DataFrame, deletion: str = "tombstone") -> DataFrame:
-    """(path, action, content) of every file: a page, a tombstone, a redirect or a removal."""
+    """(path, action, content) of every file: a page, a tombstone, a redirect or a removal.
+
+    A page has its head, breadcrumbs, a line that names its source, its text, and links to its neighbours where ``docs`` has
+    them; ``site`` puts rewritten links and neighbours there."""
     url = F.col("url")
     head = frontmatter({"title": F.coalesce("title", page_title(url)), "url": url})
-    body = F.concat(head, F.lit("\n"), breadcrumbs(url), F.lit("\n\n"), F.coalesce("markdown", F.lit("")), F.lit("\n"))
+    source = F.concat(F.lit("*Source: ["), url, F.lit("]("), url, F.lit(")*\n\n"))
+    body = F.concat(head, F.lit("\n"), breadcrumbs(url), F.lit("\n\n"), source, F.coalesce("markdown", F.lit("")), navigation(docs), F.lit("\n"))
     gone = F.coalesce("is_tombstone", F.lit(False))
     stub = {"tombstone": F.concat(head, F.lit("\n# Page removed\n\nThis page is no longer there.\n")), "redirect": F.concat(head, F.lit("\nMoved to "), F.coalesce("redirect_url", F.lit("/")), F.lit("\n")), "remove": F.lit(None).cast("string")}[deletion]
     return docs.select(urls.output_path(url).alias("path"), F.when(gone, deletion).otherwise("write").alias("action"), F.when(gone, stub).otherwise(body).alias("content"))
 
 
+def site(docs: DataFrame, key: str = "doc_id", order: tuple[str, ...] = ("depth", "url"), within: str | None = None, deletion: str = "tombstone") -> DataFrame:
+    """The files of a whole site as ``pages`` has them, with links between documents relative and each live page's neighbours."""
+    live = ~F.coalesce("is_tombstone", F.lit(False))
+    linked = neighbours(docs.where(live).select(key, "url", "title", *{*order, *([within] if within else [])} - {"url", "title", key}), *order, within=within)
+    linked = linked.select(F.col(key), "prev_url", "next_url", "prev_title", "next_title")
+    return pages(rewrite_links(docs, key).join(linked, key, "left"), deletion)
+
+
 def write_files(files: DataFrame, folder: str) -> None:
     """Each executor writes its files whole and renames them into place; a repeated task does no harm."""
 

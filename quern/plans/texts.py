@@ -18,7 +18,7 @@ def docs(spark, sf_dir):
 
 
 def quality_gate(spark, sf_dir):
-    return gate.gated(docs(spark, sf_dir), "doc_id", None, "text", languages=["en"]).select("doc_id", "reason", "duplicate_of")
+    return gate.gated(docs(spark, sf_dir), "doc_id", None, "text", languages=["en"], keep=[])
 
 
 def duplicate_first_wins(spark, sf_dir):
@@ -50,7 +50,7 @@ def pii_redact(spark, sf_dir):
 
 
 def markdown():
-    return F.concat(F.lit("# Talk\n\n**"), F.col("role"), F.lit("** said `x` in [a link](http://e.com/"), F.col("turn"), F.lit("):\n\n- item _one_\n1. item __two__\n\n\n\n---\n"), F.coalesce("text", F.lit("")))
+    return F.concat(F.lit("# Talk\n\n**"), F.col("role"), F.lit("** said `x` in [a link](http://e.com/"), F.col("turn"), F.lit(") and ![a picture](p.png):\n\n- item _one_\n1. item __two__\n\n\n\n---\n"), F.coalesce("text", F.lit("")))
 
 
 def markdown_plain_text(spark, sf_dir):
@@ -105,13 +105,13 @@ def _talks(spark, sf_dir):
 
 
 def heading_sections(spark, sf_dir):
-    s = chunking.sections(_talks(spark, sf_dir), "conv_id", F.col("markdown")).where("level = 2")
+    s = chunking.sections(_talks(spark, sf_dir), "conv_id", F.col("markdown"))
     return s.select("conv_id", "heading", "path", F.md5("body").alias("body_md5"))
 
 
 def chunk_heading(spark, sf_dir):
     c = chunking.heading_chunks(_talks(spark, sf_dir), "conv_id", least=1, most=1_000_000)
-    return c.where("level = 2").select("conv_id", "heading", "section_path", F.md5("content").alias("content_md5"))
+    return c.select("conv_id", "heading", "section_path", F.md5("content").alias("content_md5"))
 
 
 def chunk_heading_split(spark, sf_dir):
@@ -140,13 +140,33 @@ QUERIES = {f.__name__: f for f in (quality_gate, duplicate_first_wins, content_h
 WORDS = r"(CASE WHEN regexp_replace(text, '^\s+|\s+$', '', 'g') = '' THEN 0 ELSE len(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+')) END)"
 SQUEEZED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 HINT = "CASE WHEN regexp_matches(lower(substr(text, 1, 1000)), 'the|and|is|are|was|were|have|has') THEN 'en' END"
-REDACTED = "text"
-for to, pattern in text.REDACTIONS:
-    REDACTED = f"regexp_replace({REDACTED}, '{pattern.replace('(?U)', '')}', '{to}', 'g')"
-MD = "'# Talk' || chr(10) || chr(10) || '**' || role || '** said `x` in [a link](http://e.com/' || turn || '):' || chr(10) || chr(10) || '- item _one_' || chr(10) || '1. item __two__' || chr(10) || chr(10) || chr(10) || chr(10) || '---' || chr(10) || coalesce(text, '')"
+#: Written apart from the expressions' constants, so that a wrong pattern on one side shows.
+REDACTED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b', '[EMAIL REDACTED]', 'g'),
+    '\b[0-9]{3}[-.]?[0-9]{3}[-.]?[0-9]{4}\b', '[PHONE REDACTED]', 'g'), '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b', '[SSN REDACTED]', 'g'), '\b[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4}\b', '[CARD REDACTED]', 'g')"""
+MD = "'# Talk' || chr(10) || chr(10) || '**' || role || '** said `x` in [a link](http://e.com/' || turn || ') and ![a picture](p.png):' || chr(10) || chr(10) || '- item _one_' || chr(10) || '1. item __two__' || chr(10) || chr(10) || chr(10) || chr(10) || '---' || chr(10) || coalesce(text, '')"
 PLAIN = "markdown"
-for pattern, to in text.MARKDOWN:
-    PLAIN = f"regexp_replace({PLAIN}, '{pattern.replace('(?md)', '(?m)')}', '{to.replace('$1', chr(92) + '1').replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))}', 'g')"
+for _pattern, _to in (
+    (r"```(?:.|\n)*?```", ""), ("`[^`]+`", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]+)\]\([^)]*\)", r"\1"), (r"(?m)^[#]{1,6}[ \t\n\f\r]+", ""), (r"[*][*]([^*]+)[*][*]", r"\1"), (r"[*]([^*]+)[*]", r"\1"),
+    ("__([^_]+)__", r"\1"), ("_([^_]+)_", r"\1"), (r"(?m)^[-*_]{3,}$", ""), (r"(?m)^[ \t\n\f\r]*[-*+][ \t\n\f\r]+", ""), (r"(?m)^[ \t\n\f\r]*[0-9]+[.][ \t\n\f\r]+", ""), (r"\n\n\n+", "\n\n"), (" +", " "),
+):
+    PLAIN = f"regexp_replace({PLAIN}, '{_pattern}', '{_to}', 'g')"
+BARE = "text"
+for _pattern in (r"(?i)\b[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?: ?[ap]m)?\b", r"(?i)\b[0-9]+ (?:second|minute|hour|day|week|month|year)s? ago\b", r"(?i)\b[0-9,]+ (?:view|comment|like|share)s?\b", r"(?i)\bsession[_-]?id=[0-9A-Za-z_]+"):
+    BARE = f"regexp_replace({BARE}, '{_pattern}', '', 'g')"
+BARE = rf"trim(regexp_replace({BARE}, '\s+', ' ', 'g'))"
+# sections of over 2000 characters are cut at the last blank line of each window, else behind its last sentence, else hard
+PIECES = r"""
+    WITH RECURSIVE sections AS (
+        SELECT conv_id, turn, 'Talk > ' || role || ' ' || turn AS path, '## ' || role || ' ' || turn || chr(10) || chr(10) || regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS content FROM conversations),
+    cuts AS (
+        SELECT conv_id, turn, path, content, 0 AS a, CASE WHEN length(content) <= 2000 THEN length(content) ELSE coalesce(nullif(length(regexp_extract(substr(content, 1, 2000), '(?s)^(.*)\n\n', 1)), 0), nullif(length(regexp_extract(substr(content, 1, 2000), '(?s)^(.*[.]) ', 1)), 0), 2000) END AS z FROM sections
+        UNION ALL
+        SELECT conv_id, turn, path, content, z, z + CASE WHEN length(content) - z <= 2000 THEN length(content) - z ELSE coalesce(nullif(length(regexp_extract(substr(content, z + 1, 2000), '(?s)^(.*)\n\n', 1)), 0), nullif(length(regexp_extract(substr(content, z + 1, 2000), '(?s)^(.*[.]) ', 1)), 0), 2000) END
+        FROM cuts WHERE z < length(content)),
+    chunks AS (
+        SELECT conv_id, turn, path, a, CASE WHEN length(content) > 2000 THEN regexp_replace(substr(content, a + 1, z - a), '^\s+|\s+$', '', 'g') ELSE content END AS content FROM cuts WHERE length(content) >= 100),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, a) - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM chunks WHERE content <> '')
+    SELECT conv_id, printf('%d_chunk_%04d', conv_id, k) AS chunk_id, CAST(2 AS INTEGER) AS level, path AS section_path, content, k = 0 AS is_first, k = n - 1 AS is_last FROM numbered"""
 CLEAN = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
 for entity, char in html.ENTITIES:
     CLEAN = f"replace({CLEAN}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
@@ -171,13 +191,16 @@ SQL = {
     "entity_decode": f"SELECT page_id, md5(trim(regexp_replace({CLEAN}, '\\s+', ' ', 'g'))) AS clean_md5 FROM pages",
     "change_events": EVENTS,
     "change_summary": f"SELECT event, count(*) AS n FROM ({EVENTS}) GROUP BY event",
-    "noise_hash_change": "SELECT doc_id, doc_id % 5 = 0 AS changed FROM documents",
+    "noise_hash_change": f"""
+        WITH noisy AS (SELECT doc_id, text || ' 12:34 pm 1,204 views session_id=ab12' || CASE WHEN doc_id % 5 = 0 THEN ' truly new' ELSE '' END AS text FROM documents)
+        SELECT doc_id, o.bare IS DISTINCT FROM n.bare AS changed FROM (SELECT doc_id, {BARE} AS bare FROM documents) o JOIN (SELECT doc_id, {BARE} AS bare FROM noisy) n USING (doc_id)""",
+    "chunk_heading_split": PIECES,
     "header_responses": """
         WITH s AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 200 WHEN 1 THEN 304 WHEN 2 THEN 404 WHEN 3 THEN 410 WHEN 4 THEN 500 ELSE 206 END AS status FROM documents)
         SELECT doc_id, CASE WHEN status = 304 THEN 'unchanged' WHEN status IN (404, 410) THEN 'deleted' WHEN status BETWEEN 200 AND 299 THEN 'changed' ELSE 'failed' END AS outcome,
                CASE WHEN status IN (404, 410) THEN CASE WHEN doc_id % 3 + 1 >= 2 THEN 'deleted' ELSE 'pending_deletion' END END AS deletion FROM s""",
-    "heading_sections": r"SELECT conv_id, role || ' ' || turn AS heading, 'Talk > ' || role || ' ' || turn AS path, md5(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS body_md5 FROM conversations",
-    "chunk_heading": r"SELECT conv_id, role || ' ' || turn AS heading, 'Talk > ' || role || ' ' || turn AS section_path, md5('## ' || role || ' ' || turn || chr(10) || chr(10) || regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS content_md5 FROM conversations",
+    "heading_sections": r"SELECT conv_id, role || ' ' || turn AS heading, 'Talk > ' || role || ' ' || turn AS path, md5(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS body_md5 FROM conversations UNION ALL SELECT DISTINCT conv_id, 'Talk', 'Talk', md5('') FROM conversations",
+    "chunk_heading": r"SELECT conv_id, role || ' ' || turn AS heading, 'Talk > ' || role || ' ' || turn AS section_path, md5('## ' || role || ' ' || turn || chr(10) || chr(10) || regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS content_md5 FROM conversations UNION ALL SELECT DISTINCT conv_id, 'Talk', 'Talk', md5('# Talk' || chr(10) || chr(10)) FROM conversations",
     "export_jsonl": "SELECT CAST(to_json({'doc_id': doc_id, 'text': text, 'lang': lang, 'source': source, 'n_chars': n_chars}) AS VARCHAR) AS value FROM documents",
     "chunk_window": "SELECT conv_id, turn, CAST(row_number() OVER w - 1 AS INTEGER) AS chunk_index, count(*) OVER (PARTITION BY conv_id) AS total_chunks, row_number() OVER w = 1 AS is_first, row_number() OVER w = count(*) OVER (PARTITION BY conv_id) AS is_last FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)",
 }

@@ -52,8 +52,8 @@ def depth():
 def page_documents(spark, sf_dir):
     """URL form, text, title, sizes and the gate's verdict of every page."""
     docs = pages(spark, sf_dir).select("page_id", "url", urls.normalize(u()).alias("url_key"), html.title(F.col("html")).alias("title"), html.text(F.col("html")).alias("text"))
-    out = gate.gated(docs, "page_id", "url", "text")
-    return out.select("page_id", "url_key", "title", F.length("text").cast("long").alias("n_chars"), text.word_count(F.col("text")).alias("n_words"), "reason", "duplicate_of")
+    docs = docs.withColumns({"n_chars": F.length("text").cast("long"), "n_words": text.word_count(F.col("text"))})
+    return gate.gated(docs, "page_id", "url", "text", keep=["url_key", "title", "n_chars", "n_words"])
 
 
 def url_normalize(spark, sf_dir):
@@ -132,10 +132,10 @@ def frontier_topk(spark, sf_dir):
 
 
 def frontier_bfs(spark, sf_dir):
-    """Waves from the least page over links from page n to 3n + 1, 3n + 2 and 3n + 3, to a depth of 6."""
+    """Waves from the least page over links from page n to 3n + 1, 3n + 2 and 3n + 3, until a wave is empty."""
     p = pages(spark, sf_dir).select(F.col("page_id").alias("node"))
     edges = p.select(F.col("node").alias("src"), F.explode(F.array(*[F.col("node") * 3 + k for k in (1, 2, 3)])).alias("dst")).join(p, F.col("dst") == F.col("node"), "left_semi")
-    return crawl.breadth_first(p.where("node = 0"), edges, max_depth=6)
+    return crawl.breadth_first(p.where("node = 0"), crawl.written(edges))
 
 
 def breadcrumbs(spark, sf_dir):
@@ -169,7 +169,7 @@ def link_rewrite(spark, sf_dir):
 
 def publish_files(spark, sf_dir):
     d = pages(spark, sf_dir).select("page_id", "url", html.title(F.col("html")).alias("title"), html.text(F.col("html")).alias("markdown"), (F.col("page_id") % 10 == 0).alias("is_tombstone"), F.lit(None).cast("string").alias("redirect_url"))
-    return publish.pages(d).select("path", "action", F.length("content").alias("size"))
+    return publish.pages(d).select("path", "action", F.md5("content").alias("content_md5"))
 
 
 def _markdown(spark, sf_dir):
@@ -223,7 +223,25 @@ BLOCKS = f"""
 TERMS = ("en", "reaux", "the")
 SCORE = " + ".join(f"ln(1 + (n - df_{t} + 0.5) / (df_{t} + 0.5)) * tf_{t} * 2.5 / (tf_{t} + 1.5 * (0.25 + 0.75 * len(w) / mean))" for t in TERMS)
 
+OUTPUT = f"CASE WHEN {BARE} = '' THEN 'index.md' WHEN contains(regexp_extract({BARE}, '([^/]*)$', 1), '.') THEN {BARE} || '.md' ELSE {BARE} || '/index.md' END"
+CRUMBS = "'[Home](/)' || CASE WHEN len(parts) > 1 THEN ' > [' || upper(parts[1][1]) || lower(parts[1][2:]) || '](/' || parts[1] || ')' ELSE '' END || CASE WHEN len(parts) > 0 THEN ' > ' || regexp_replace(parts[len(parts)], '\\.[A-Za-z0-9]+$', '') ELSE '' END"
+# a file's way to another: up from its folder to the one they share, then down
+RELATIVE = """
+    SELECT page_id, nxt, a, b, len(list_filter(range(1, least(len(a), len(b))), lambda i: a[1:i] = b[1:i])) AS shared FROM (
+        SELECT d.page_id, d.nxt, string_split(d.file, '/') AS a, string_split(k.file, '/') AS b FROM d LEFT JOIN k ON k.key = d.nxt_key)"""
+LOCATION = "regexp_replace(regexp_extract({u}, '^([^?#]*)', 1), '([^/])/+$', '\\1')"
+
 SQL = {
+    "link_rewrite": f"""
+        WITH p AS (SELECT page_id, url, {OUTPUT} AS file, {LOCATION.format(u="url")} AS key, {AUTH} AS auth FROM pages),
+        d AS (SELECT *, {LOCATION.format(u="nxt")} AS nxt_key FROM (SELECT *, lead(url) OVER (PARTITION BY auth ORDER BY page_id) AS nxt FROM p)),
+        k AS (SELECT key, min(file) AS file FROM p GROUP BY key)
+        SELECT page_id, 'See [next](' || CASE WHEN nxt IS NULL THEN 'mailto:x@example.com' ELSE repeat('../', len(a) - 1 - shared) || array_to_string(b[shared + 1:], '/') END || ') and [top](#top).' AS markdown FROM ({RELATIVE})""",
+    "publish_files": f"""
+        WITH p AS (SELECT page_id, url, {OUTPUT} AS path, {TITLE} AS title, {HTML_TEXT} AS text, list_filter(string_split({PATH}, '/'), lambda x: x <> '') AS parts FROM pages),
+        h AS (SELECT *, '---' || chr(10) || 'title: "' || replace(replace(title, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"' || chr(10) || 'url: "' || url || '"' || chr(10) || '---' || chr(10) AS head FROM p)
+        SELECT path, CASE WHEN page_id % 10 = 0 THEN 'tombstone' ELSE 'write' END AS action, md5(head || CASE WHEN page_id % 10 = 0 THEN chr(10) || '# Page removed' || chr(10) || chr(10) || 'This page is no longer there.' || chr(10)
+            ELSE chr(10) || {CRUMBS} || chr(10) || chr(10) || '*Source: [' || url || '](' || url || ')*' || chr(10) || chr(10) || coalesce(text, '') || chr(10) END) AS content_md5 FROM h""",
     "html_markdown": f"WITH {BLOCKS} SELECT page_id, md5(markdown) AS markdown_md5, length(markdown) AS n_chars FROM m",
     "markdown_blocks": f"WITH {BLOCKS} SELECT page_id, count(*) AS blocks, CAST(sum(len(w)) AS BIGINT) AS words FROM blocks WHERE starts_with(content, '#') OR (len(w) >= 5 AND link_share <= 0.5) GROUP BY page_id",
     "block_bm25": f"""
@@ -238,7 +256,7 @@ SQL = {
     "url_normalize": f"SELECT page_id, url_key FROM ({NORMAL})",
     "url_parts": f"SELECT page_id, {SCHEME} AS scheme, {HOST} AS host, {REGISTERED} AS registered_domain, {EXTENSION} AS extension FROM pages",
     "url_collisions": f"SELECT url_key, count(*) AS n, min(page_id) AS first_id FROM ({NORMAL}) GROUP BY url_key HAVING count(*) > 1",
-    "output_paths": f"SELECT page_id, CASE WHEN {BARE} = '' THEN 'index.md' WHEN contains(regexp_extract({BARE}, '([^/]*)$', 1), '.') THEN {BARE} || '.md' ELSE {BARE} || '/index.md' END AS path FROM pages",
+    "output_paths": f"SELECT page_id, {OUTPUT} AS path FROM pages",
     "link_filter_reason": f"""
         SELECT page_id, CASE WHEN {SCHEME} = '' OR {AUTH} = '' THEN 'invalid_url' WHEN {SCHEME} NOT IN ('http', 'https') THEN 'invalid_scheme' WHEN {DEPTH.format(p=PATH)} > 1 THEN 'max_depth_exceeded'
             WHEN NOT ({HOST} IN ('example.com', 'example.org') OR ends_with({HOST}, '.example.com') OR ends_with({HOST}, '.example.org')) THEN 'domain_not_allowed'
@@ -263,7 +281,7 @@ SQL = {
     "frontier_bfs": """
         WITH RECURSIVE waves AS (
             SELECT page_id AS node, 0 AS depth FROM pages WHERE page_id = 0 UNION ALL
-            SELECT p.page_id, w.depth + 1 FROM waves w JOIN pages p ON p.page_id IN (3 * w.node + 1, 3 * w.node + 2, 3 * w.node + 3) WHERE w.depth < 6)
+            SELECT p.page_id, w.depth + 1 FROM waves w JOIN pages p ON p.page_id IN (3 * w.node + 1, 3 * w.node + 2, 3 * w.node + 3))
         SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM waves GROUP BY node""",
     "breadcrumbs": f"""
         WITH p AS (SELECT page_id, list_filter(string_split({PATH}, '/'), lambda x: x <> '') AS parts FROM pages)

@@ -62,8 +62,8 @@ def test_hashes(spark):
 
 
 def test_texts(spark):
-    assert one(spark, text.plain, "# Hi\n\n**b** and [l](u) `c`\n\n\n\n- x\n1. y") == ["Hi\n\nb and l c\nx\ny"]
+    assert one(spark, text.plain, "# Hi\n\n**b** and [l](u) `c`\n\n\n\n- x\n1. y") == ["Hi\n\nb and l \nx\ny"]
     assert one(spark, text.word_count, "", " a  b\nc ", None) == [0, 3, None]
-    assert one(spark, text.redact, "m a.b@c.org 555-123-4567 123-45-6789 4111 1111 1111 1111") == ["m [EMAIL] [PHONE] [SSN] [CARD]"]
+    assert one(spark, text.redact, "m a.b@c.org 555-123-4567 123-45-6789 4111 1111 1111 1111") == ["m [EMAIL REDACTED] [PHONE REDACTED] [SSN REDACTED] [CARD REDACTED]"]
     assert one(spark, text.title_case, "o'neil 3d map") == ["O'Neil 3D Map"]
     assert one(spark, text.language_hint, "There it goes", "Guten Tag") == ["en", None]
