@@ -1,4 +1,4 @@
-"""The command line: crawl captured pages, list sites and runs, show and set the user's configuration."""
+"""The command line: crawl and sync sites, list sites and runs, show and set the user's configuration."""
 
 from __future__ import annotations
 
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from quern.functions import hashing
 from quern.operators import history, job, publish
 from quern.sources import fetch as sources
-from quern.sources.config import Crawl, Quality, UserConfig
+from quern.sources.config import Crawl, Quality, Sync, UserConfig
+from quern.sources.crawl import written
 from quern.sources.store import Store, open_store
 
 log = logging.getLogger("quern")
@@ -46,10 +47,12 @@ def crawl(spark: SparkSession, store: Store, args) -> dict:
     get = (lambda r: sources.captured(r, web)) if web is not None else (lambda r: sources.fetch(r, sources.http()))
     done = job.crawl(spark, config, get)
     site, run, now = hashing.site_id(config.seeds), hashing.run_id(), datetime.now(timezone.utc)
-    record = job.finished(done.log)
-    pages, versions = job.versioned(done.documents, store.read("pages"), site, run, F.lit(now).cast("timestamp"))
-    store.save("versions", versions)
-    store.save("pages", pages)
+    record = job.finished(done.log, done.seconds)
+    at, stored = F.lit(now).cast("timestamp"), store.read("pages")
+    pages, versions = job.versioned(done.documents, stored, site, run, at)
+    lost_pages, lost_versions = job.tombstones(done.gone, stored, site, run, at)
+    store.save("versions", versions.unionByName(lost_versions))
+    store.save("pages", pages.unionByName(lost_pages))
     old = store.get("sites", site_id=site)
     store.save("sites", [{"site_id": site, "name": config.seeds[0], "seeds": list(config.seeds), "created_at": old["created_at"] if old else now, "updated_at": now, "last_crawl_at": now, "total_pages": store.count_pages(site), "total_runs": (old["total_runs"] if old else 0) + 1, "is_active": True}])
     store.save("runs", [{"run_id": run, "site_id": site, "status": record["status"], "created_at": now, "started_at": now, "completed_at": datetime.now(timezone.utc), "seeds": list(config.seeds)}])
@@ -58,6 +61,28 @@ def crawl(spark: SparkSession, store: Store, args) -> dict:
     return record | {"site_id": site, "run_id": run}
 
 
+def sync(spark: SparkSession, store: Store, args) -> dict:
+    """Checks the site's pages again and writes what has changed."""
+    site = store.get("sites", site_id=args.site)
+    if site is None:
+        raise SystemExit(f"no site {args.site}")
+    config = Sync(site_id=args.site, strategies=tuple(args.strategies), max_age_hours=args.max_age_hours, max_pages=args.max_pages, include=tuple(args.include), exclude=tuple(args.exclude), deletion_threshold=args.deletion_threshold)
+    web = spark.read.parquet(args.pages) if args.pages else None
+    get = (lambda r: sources.captured(r, web)) if web is not None else (lambda r: sources.fetch(r, sources.http()))
+    run, now = hashing.run_id(), datetime.now(timezone.utc)
+    at, stored = F.lit(now).cast("timestamp"), store.find("pages", site_id=args.site)
+    found = written(job.sync(job.noise_free(stored, store.find("versions", site_id=args.site)), get, config, at))  # fetched once
+    pages, versions = job.merged(found, stored, args.site, run, at)
+    pages = written(pages)
+    store.save("versions", versions)
+    store.save("pages", pages)
+    counts = {r.outcome: r["count"] for r in found.groupBy("outcome").count().collect()}
+    status = "partial" if counts.get("failed") else "completed"
+    store.save("sites", [site | {"updated_at": now, "total_pages": store.count_pages(args.site), "total_runs": (site["total_runs"] or 0) + 1}])
+    store.save("runs", [{"run_id": run, "site_id": args.site, "status": status, "created_at": now, "started_at": now, "completed_at": datetime.now(timezone.utc), "seeds": site["seeds"]}])
+    return {"run_id": run, "status": status} | {k: counts.get(k, 0) for k in ("unchanged", "changed", "deleted", "pending_deletion", "failed")}
+
+
 def listing(store: Store, limit: int, status: str | None):
     """Newest runs of each site up to the limit, then the status filter, then the newest of all."""
     rows = history.latest(store.read("runs"), ["site_id"], ["-created_at", "run_id"], limit)
@@ -80,6 +105,15 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--min-words", type=int, default=10)
     c.add_argument("--include", nargs="*", default=[])
     c.add_argument("--exclude", nargs="*", default=[])
+    y = sub.add_parser("sync")
+    y.add_argument("site")
+    y.add_argument("--pages", help="captured pages (url, html) to check against instead of the network")
+    y.add_argument("--strategies", nargs="+", default=["headers", "hash"])
+    y.add_argument("--max-age-hours", type=float)
+    y.add_argument("--max-pages", type=int)
+    y.add_argument("--deletion-threshold", type=int, default=2)
+    y.add_argument("--include", nargs="*", default=[])
+    y.add_argument("--exclude", nargs="*", default=[])
     sub.add_parser("sites")
     for name in ("runs", "list"):
         r = sub.add_parser(name)
@@ -106,6 +140,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     store = open_store(spark, {"root": args.store or user.load()["store"]})
     if args.verb == "crawl":
         print(table([crawl(spark, store, args)]))
+    elif args.verb == "sync":
+        print(table([sync(spark, store, args)]))
     elif args.verb == "sites":
         print(table([r.asDict() for r in store.sites().select("site_id", "name", "total_pages", "total_runs", "created_at").collect()]))
     else:

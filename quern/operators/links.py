@@ -35,6 +35,13 @@ def extract(pages: DataFrame, keys: Iterable[str] = ("page_id",), domains: Itera
     )
 
 
+def targets(url: Column, page: Column) -> Column:
+    """array<string>: where a page's links lead, resolved, http(s) only, each once in order."""
+    raw = F.transform(html.links(page), lambda a: F.btrim(F.regexp_extract(a["attrs"], r"""href=["']([^"']+)["']""", 1)))
+    found = F.transform(F.filter(raw, lambda r: (r != "") & ~r.rlike(SPECIAL)), lambda r: urls.resolve(url, r))
+    return F.array_distinct(F.filter(found, lambda h: h.rlike("(?i)^https?://")))
+
+
 def gate(
     url: Column, depth: Column, domains: Iterable[str] = (), subdomains: bool = True, prefixes: Iterable[str] = (), include: Iterable[str] = (), exclude: Iterable[str] = (),
     extensions: Iterable[str] = BLOCKED_EXTENSIONS, max_depth: int | None = None, seen: Column | None = None, schemes: Iterable[str] = ("http", "https"),

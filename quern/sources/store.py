@@ -1,9 +1,11 @@
-"""The store of sites, runs, pages, versions and frontier items: Parquet snapshots, swapped whole."""
+"""The store of sites, runs, pages, versions and frontier items: Parquet parts under numbered logs."""
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,40 +33,82 @@ TABLES: dict[str, tuple[list[str], T.StructType]] = {
 }
 
 
+class Conflict(RuntimeError):
+    """Another writer was there first."""
+
+
 class Store:
-    """Tables as snapshots in folders; a small pointer file names each table's newest, so that readers see whole ones."""
+    """Tables as logs of parts: numbered log files name a base and the upserts since then; a reader takes the newest log whole.
+
+    An upsert writes its own rows only; reads lay the parts over one another by key. After COMPACT parts a write makes
+    a new base. A log file is written beside its place and renamed to a number that isn't there yet, so that of two writers
+    one gets Conflict. The last log but one and its parts stay, for readers that have begun."""
+
+    COMPACT = 8
 
     def __init__(self, spark: SparkSession, root: str, read_only: bool = False, by_site: bool = False):
         self.spark, self.root, self.read_only, self.by_site = spark, root.rstrip("/"), read_only, by_site
-        jvm = spark.sparkContext._jvm
-        self.path = jvm.org.apache.hadoop.fs.Path
+        self.jvm = spark.sparkContext._jvm
+        self.path = self.jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self, table: str):
-        return self.path(f"{self.root}/{table}/CURRENT")
-
-    def _snapshot(self, table: str) -> str | None:
-        if not self.fs.exists(self._pointer(table)):
-            return None
-        return self.spark.read.text(f"{self.root}/{table}/CURRENT").first()[0]
+    def _numbers(self, table: str) -> list[int]:
+        folder = self.path(f"{self.root}/{table}/log")
+        return sorted(int(f.getPath().getName()) for f in self.fs.listStatus(folder) if f.getPath().getName().isdigit()) if self.fs.exists(folder) else []
+
+    def _log(self, table: str, number: int | None = None) -> dict:
+        """number, the parts from the base on, and how far streams have come."""
+        if number is None:
+            number = max(self._numbers(table), default=0)
+        if not number:
+            return {"number": 0, "parts": [], "streams": {}}
+        stream = self.fs.open(self.path(f"{self.root}/{table}/log/{number:010d}"))
+        try:
+            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")) | {"number": number}
+        finally:
+            stream.close()
 
     def read(self, table: str) -> DataFrame:
         key, kind = TABLES[table]
-        at = self._snapshot(table)
-        return self.spark.read.schema(kind).parquet(f"{self.root}/{table}/{at}").select(*kind.fieldNames()) if at else self.spark.createDataFrame([], kind)
-
-    def write(self, table: str, rows: DataFrame) -> None:
-        """A new snapshot, a folder a site if the store is laid out so; the pointer moves to it once it is whole, then the old one goes."""
+        parts = [self.spark.read.schema(kind).parquet(f"{self.root}/{table}/{p}").select(*kind.fieldNames()) for p in self._log(table)["parts"]]
+        if not parts:
+            return self.spark.createDataFrame([], kind)
+        if len(parts) == 1:
+            return parts[0]
+        marked = reduce(DataFrame.unionByName, [p.withColumn("__part", F.lit(k)) for k, p in enumerate(parts)])
+        return history.latest(marked, key, ["-__part"]).select(*kind.fieldNames())
+
+    def _commit(self, table: str, rows: DataFrame, log: dict, base: bool, stream: tuple[str, int] | None = None) -> None:
         if self.read_only:
             raise PermissionError("the store is open for reading")
-        old, name = self._snapshot(table), uuid.uuid4().hex
-        writer = rows.select(*[f.name for f in TABLES[table][1]]).write
+        name = uuid.uuid4().hex
+        writer = rows.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[table][1]]).write
         (writer.partitionBy("site_id") if self.by_site else writer).parquet(f"{self.root}/{table}/{name}")
-        out = self.fs.create(self._pointer(table), True)
-        out.write(bytearray(name.encode()))
+        new = {"parts": [name] if base else [*log["parts"], name], "streams": log["streams"] | (dict([stream]) if stream else {})}
+        folder, number = f"{self.root}/{table}/log", log["number"] + 1
+        self.fs.mkdirs(self.path(folder))
+        part, to = self.path(f"{folder}/{name}.part"), self.path(f"{folder}/{number:010d}")
+        out = self.fs.create(part, True)
+        out.write(bytearray(json.dumps(new).encode()))
         out.close()
-        if old:
-            self.fs.delete(self.path(f"{self.root}/{table}/{old}"), True)
+        if self.fs.exists(to) or not self.fs.rename(part, to):
+            self.fs.delete(part, False)
+            self.fs.delete(self.path(f"{self.root}/{table}/{name}"), True)
+            raise Conflict(f"{table}: log {number} is there already")
+        self._clean(table, number)
+
+    def _clean(self, table: str, number: int) -> None:
+        """Logs before the last but one go, and parts that only they name."""
+        kept = {p for k in self._numbers(table) if k >= number - 1 for p in self._log(table, k)["parts"]}
+        for k in self._numbers(table):
+            if k < number - 1:
+                for p in set(self._log(table, k)["parts"]) - kept:
+                    self.fs.delete(self.path(f"{self.root}/{table}/{p}"), True)
+                self.fs.delete(self.path(f"{self.root}/{table}/log/{k:010d}"), False)
+
+    def write(self, table: str, rows: DataFrame, stream: tuple[str, int] | None = None) -> None:
+        """A new base, a folder a site if the store is laid out so."""
+        self._commit(table, rows, self._log(table), True, stream)
 
     def rows(self, table: str, values: Iterable[dict[str, Any]]) -> DataFrame:
         kind = TABLES[table][1]
@@ -73,10 +117,20 @@ class Store:
             raise ValueError(f"unknown columns of {table}: {sorted(unknown)}")
         return self.spark.createDataFrame([tuple(v.get(f) for f in kind.fieldNames()) for v in values], kind)
 
-    def save(self, table: str, rows: DataFrame | Iterable[dict[str, Any]], order: list[str] | None = None) -> None:
-        """Upsert by key, as many rows at once as there are."""
+    def save(self, table: str, rows: DataFrame | Iterable[dict[str, Any]], order: list[str] | None = None, stream: tuple[str, int] | None = None) -> None:
+        """Upsert by key, as many rows at once as there are; of several rows of a key the first by ``order`` wins.
+
+        ``stream`` (name, batch) is noted in the same log, so that a batch is known to be in the table or not."""
         new = rows if isinstance(rows, DataFrame) else self.rows(table, list(rows))
-        self.write(table, history.upsert(self.read(table), new, TABLES[table][0], order))
+        key, log = TABLES[table][0], self._log(table)
+        if len(log["parts"]) >= self.COMPACT:
+            self._commit(table, history.upsert(self.read(table), new, key, order), log, True, stream)
+        else:
+            self._commit(table, history.latest(new, key, order) if order else new, log, False, stream)
+
+    def batch(self, table: str, stream: str) -> int:
+        """The last batch of a stream that is in the table; -1 before any."""
+        return self._log(table)["streams"].get(stream, -1)
 
     def get(self, table: str, **key: Any) -> dict | None:
         row = self.find(table, **key).limit(1).collect()
@@ -124,8 +178,8 @@ class Store:
     def set_status(self, item_id: str, status: str, now, error: str | None = None) -> None:
         hit = F.col("item_id") == item_id
         done = status in ("completed", "failed", "skipped")
-        out = self.read("frontier").withColumns({"status": F.when(hit, status).otherwise(F.col("status")), "error": F.when(hit, F.lit(error)).otherwise(F.col("error")), "completed_at": F.when(hit & F.lit(done), F.lit(now).cast("timestamp")).otherwise(F.col("completed_at"))})
-        self.write("frontier", out)
+        item = self.read("frontier").where(hit).withColumns({"status": F.lit(status), "error": F.lit(error)})
+        self.save("frontier", item.withColumn("completed_at", F.lit(now).cast("timestamp")) if done else item)
 
     def clear_frontier(self, run_id: str) -> int:
         n = self.find("frontier", run_id=run_id).count()
@@ -136,7 +190,7 @@ class Store:
     def delete_site(self, site_id: str) -> None:
         """The site and all that belongs to it."""
         for table in ("frontier", "versions", "pages", "runs", "sites"):
-            if self._snapshot(table):
+            if self._log(table)["parts"]:
                 self.write(table, history.without(self.read(table), "site_id", site_id))
 
     def sql(self, query: str) -> DataFrame:

@@ -19,7 +19,12 @@ def results(spark: SparkSession, folder: str, files_per_batch: int = 16) -> Data
 
 
 def apply(batch: DataFrame, store: Store, site_id: str, run_id: str, events: str, number: int) -> None:
-    """One batch: the newest result of each URL against the page as stored. A batch that comes again writes the same rows."""
+    """One batch: the newest result of each URL against the page as stored.
+
+    Events and versions come before pages, whose log also says which batch is in. A batch that comes again before that
+    finds the pages as they were and writes the same events and versions over; after it, it does nothing."""
+    if store.batch("pages", events) >= number:
+        return
     keyed = batch.withColumn("url_key", urls.normalize(F.col("url")))
     new = job.extracted(latest(keyed, ["url_key"], ["-fetched_at"])).withColumn("doc_id", hashing.doc_id(F.col("url_key"))).withColumns({"depth": F.lit(0), "referrer_url": F.lit(None).cast("string")})
     pages = store.find("pages", site_id=site_id)
@@ -38,7 +43,7 @@ def apply(batch: DataFrame, store: Store, site_id: str, run_id: str, events: str
         store.save("versions", for_versions)
         dead = rows.where("event = 'deleted'").select(F.col("doc_id").alias("page_id"))
         tombs = pages.join(dead, "page_id").withColumn("is_tombstone", F.lit(True))
-        store.save("pages", for_pages.unionByName(tombs.select(*for_pages.columns)))
+        store.save("pages", for_pages.unionByName(tombs.select(*for_pages.columns)), stream=(events, number))
     finally:
         rows.unpersist()
 

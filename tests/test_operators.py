@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import html, markdown
+from quern.functions.hashing import hash_text
 from quern.operators import changes, chunking, frontier, gate, history, job, links, metrics, publish
 from quern.sources import config, crawl, fetch, robots, sitemap
-from quern.sources.store import open_store
+from quern.sources.store import Conflict, open_store
 
 PAGE = """<html lang="en-GB"><head><title> A &amp; B </title><meta content="d" name="description"><meta property="og:title" content="OG">
 <link rel="canonical" href="https://e.com/c"><style>x{}</style></head><body><h2 id="s">Two</h2><script>var a = "<b>";</script>
@@ -205,6 +206,84 @@ def test_crawl_and_sync(spark, tmp_path):
     assert {r.url: r.outcome for r in out.collect()} == {"https://e.com/": "changed", "https://e.com/dead": "deleted", "https://e.com/lost": "pending_deletion"}
 
 
+def test_crawl_and_sync_again_and_again(spark, tmp_path):
+    """Validators go out and come back; 304, changed, noise alone, 404 once and twice, and a crawl that finds a page gone."""
+    text = lambda x: "<p>" + f"the page {x} has many words and they are fine " * 5 + "</p>"
+    home = text("home") + "".join(f'<a href="/{k}">x</a>' for k in "abcd")
+    web_ = {"https://e.com/": home} | {f"https://e.com/{k}": text(k) for k in "abcd"}
+    asked: list = []
+
+    def fetcher(pages):
+        def get(requests):
+            rows = requests.collect()
+            asked.append({r.url: r.asDict() for r in rows})
+            out = []
+            for r in rows:
+                tag = f"tag-{hash_text(pages.get(r.url, ''))}"
+                code = 404 if r.url not in pages else 304 if r.asDict().get("etag") == tag else 200
+                out.append((r.url, fetch.outcome(code), code, pages[r.url] if code == 200 else None, tag if code in (200, 304) else None, None, 5.0))
+            return spark.createDataFrame(out, "url string, status string, status_code int, html string, etag string, last_modified string, latency_ms double")
+
+        return get
+
+    store = open_store(spark, {"root": str(tmp_path / "s")})
+    at = lambda day: F.lit(datetime(2024, 1, day)).cast("timestamp")
+
+    def crawl_(day, pages):
+        done = job.crawl(spark, config.Crawl(seeds=("https://e.com/",)), fetcher(pages))
+        stored = store.read("pages")
+        p, v = job.versioned(done.documents, stored, "s", f"r{day}", at(day))
+        lost_p, lost_v = job.tombstones(done.gone, stored, "s", f"r{day}", at(day))
+        store.save("versions", v.unionByName(lost_v))
+        store.save("pages", p.unionByName(lost_p))
+        return done
+
+    def sync_(day, pages):
+        stored = store.find("pages", site_id="s")
+        found = crawl.written(job.sync(job.noise_free(stored, store.read("versions")), fetcher(pages), config.Sync(), at(day)))
+        p, v = job.merged(found, stored, "s", f"r{day}", at(day))
+        p = crawl.written(p)
+        store.save("versions", v)
+        store.save("pages", p)
+        return {r.url[-1]: r.outcome for r in found.collect()}
+
+    done = crawl_(1, web_)
+    assert job.finished(done.log, done.seconds)["avg_latency_ms"] == 5.0 and job.finished(done.log, 2.0)["pages_per_second"] == 2.5
+    first = {r.url[-1]: r for r in store.read("pages").collect()}
+    assert set(first) == set("/abcd") and first["a"].etag.startswith("tag-") and [r.outlinks for r in store.read("versions").where("url = 'https://e.com/'").collect()] == [[f"https://e.com/{k}" for k in "abcd"]]
+    now = web_ | {"https://e.com/a": text("a new"), "https://e.com/b": text("b") + "<p>12:30</p>"}
+    del now["https://e.com/c"]
+    assert sync_(2, now) == {"/": "unchanged", "a": "changed", "b": "unchanged", "c": "pending_deletion", "d": "unchanged"}
+    assert asked[-1]["https://e.com/a"]["etag"] == first["a"].etag
+    assert sync_(3, now) == {"/": "unchanged", "a": "unchanged", "b": "unchanged", "c": "deleted", "d": "unchanged"}
+    assert set(sync_(4, now)) == set("/abd")  # tombstones aren't asked for again
+    rows = {r.url[-1]: r for r in store.read("pages").collect()}
+    assert rows["c"].is_tombstone and rows["c"].status_code == 404 and rows["a"].version_count == 2 and rows["b"].version_count == 1 and rows["a"].etag != first["a"].etag
+    assert store.read("versions").where("is_tombstone").count() == 1 and store.read("versions").count() == 7 and store.versions(rows["a"].page_id).count() == 2
+    del now["https://e.com/d"]
+    crawl_(5, now)
+    assert store.count_pages("s") == 3 and store.get("pages", page_id=rows["d"].page_id)["is_tombstone"]
+
+
+def test_store_parts(spark, tmp_path):
+    """Upserts add parts, which are laid over one another and put together now and then; the last log but one stays readable."""
+    import os
+
+    store = open_store(spark, {"root": str(tmp_path / "s")})
+    for n in range(20):
+        before = store.read("runs") if n else None
+        store.save("runs", [{"run_id": f"r{n % 3}", "site_id": "a", "status": str(n)}])
+        assert before is None or before.count() == min(n, 3)
+        assert len(store._log("runs")["parts"]) <= store.COMPACT
+    assert {r.run_id: r.status for r in store.read("runs").collect()} == {"r0": "18", "r1": "19", "r2": "17"}
+    assert len(os.listdir(tmp_path / "s" / "runs")) <= 2 * store.COMPACT + 1 and len([f for f in os.listdir(tmp_path / "s" / "runs" / "log") if f.isdigit()]) == 2
+    stale_log = store._log("runs") | {"number": 1}
+    with pytest.raises(Conflict):
+        store._commit("runs", store.read("runs"), stale_log | {"number": store._log("runs")["number"] - 1}, True)
+    store.save("runs", [{"run_id": "s"}], stream=("events", 4))
+    assert store.batch("runs", "events") == 4 and store.batch("runs", "other") == -1
+
+
 def test_breadth_first(spark):
     edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (0, 2), (2, 3)], "src int, dst int")
     got = crawl.breadth_first(spark.createDataFrame([(0,)], "node int"), edges, 5)
