@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from quern.functions import urls
+
 SEED_PRIORITY = 1000.0
 DOCS = ("/docs", "/documentation", "/guide", "/tutorial", "/reference", "/api")
 ARCHIVES = ("/archive", "/tag", "/category", "/page/", "/author", "/feed")
@@ -49,3 +51,9 @@ def returned(frontier: DataFrame, failed: DataFrame) -> DataFrame:
 
 def stats(frontier: DataFrame) -> DataFrame:
     return frontier.groupBy("status").agg(F.count(F.lit(1)).alias("items"), F.max("depth").alias("max_depth"))
+
+
+def by_domain(frontier: DataFrame) -> DataFrame:
+    """(domain, pending, in_progress, completed, failed, items) of each host."""
+    count = lambda k: F.count_if(F.col("status") == k).alias(k)
+    return frontier.groupBy(urls.host(F.col("url")).alias("domain")).agg(count("pending"), count("in_progress"), count("completed"), count("failed"), F.count(F.lit(1)).alias("items"))

@@ -90,10 +90,11 @@ def extracted(results: DataFrame) -> DataFrame:
     }).drop("m")
 
 
-def crawl(spark: SparkSession, config: Crawl, fetch: Callable[[DataFrame], DataFrame], rules: DataFrame | None = None, hooks: Hooks | None = None, checkpoint: Callable[[DataFrame], DataFrame] | None = None) -> Crawled:
+def crawl(spark: SparkSession, config: Crawl, fetch: Callable[[DataFrame], DataFrame], rules: DataFrame | Callable[[DataFrame], DataFrame] | None = None, hooks: Hooks | None = None, checkpoint: Callable[[DataFrame], DataFrame] | None = None) -> Crawled:
     """Documents reached from the seeds, wave by wave, until a wave is empty or ``max_pages`` are discovered.
 
-    ``fetch`` gives results (url, status, status_code, html) for requests (url). A wave filters before it
+    ``fetch`` gives results (url, status, status_code, html, and etag, last_modified and latency_ms if it has them) for
+    requests (url). ``rules`` are robots rules, or a function that has them for a wave, as robots.gathered does. A wave filters before it
     fetches, admits by priority, extracts, passes the gate and lists the internal links of what passed; each
     wave's results are checkpointed, so a lost executor costs a wave at most. The cap counts what is admitted,
     whether or not it can be fetched."""
@@ -114,7 +115,8 @@ def crawl(spark: SparkSession, config: Crawl, fetch: Callable[[DataFrame], DataF
             break
         known += n
         seen = seen.unionByName(wave.select("url_key"))
-        allowed = R.check(wave, rules, mode=config.robots, allow=list(config.robots_allow)) if rules is not None else wave.withColumn("robots_allowed", F.lit(True))
+        of_wave = rules(wave) if callable(rules) else rules
+        allowed = R.check(wave, of_wave, mode=config.robots, allow=list(config.robots_allow)) if of_wave is not None else wave.withColumn("robots_allowed", F.lit(True))
         got = complete(fetch(allowed.where("robots_allowed").select("url")))
         results = cut(extracted(wave.join(got, "url")))
         entry = results.select("url", urls.host(F.col("url")).alias("domain"), (F.col("status") == "success").alias("success"), F.col("status_code").cast("string").alias("status"), "latency_ms", F.length("html").cast("long").alias("bytes"), F.lit("created").alias("change"), "depth")

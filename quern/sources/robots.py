@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -26,6 +28,20 @@ def parse(files: DataFrame) -> DataFrame:
     return rules.unionByName(sitemaps).select("domain", "agent", "kind", "value")
 
 
+def gathered(candidates: DataFrame, fetch: Callable[[DataFrame], DataFrame], now: Column, known: DataFrame | None = None, ttl: float = 3600.0) -> DataFrame:
+    """Rules with fetched_at for every domain of ``candidates`` (url): ``known`` ones up to ``ttl`` seconds old, and others fetched.
+
+    One file a domain is asked for, by the least scheme among its URLs. A domain whose file can't be had or has no rules keeps
+    a row of kind 'none', so that it isn't asked again before its time."""
+    domains = candidates.select(urls.host(F.col("url")).alias("domain"), F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.authority(F.col("url")), F.lit("/robots.txt")).alias("url")).groupBy("domain").agg(F.min("url").alias("url"))
+    fresh = known.where(F.col("fetched_at") > now - F.make_dt_interval(secs=F.lit(float(ttl)))) if known is not None else None
+    wanted = domains.join(fresh.select("domain").distinct(), "domain", "left_anti") if fresh is not None else domains
+    files = wanted.join(fetch(wanted.select("url")).select("url", "status_code", F.col("html").alias("body")), "url", "left").select("domain", "status_code", "body")
+    none = wanted.select("domain", F.lit("*").alias("agent"), F.lit("none").alias("kind"), F.lit("").alias("value"))
+    new = parse(files).unionByName(none).withColumn("fetched_at", now)
+    return fresh.select(*new.columns).unionByName(new) if fresh is not None else new
+
+
 def check(candidates: DataFrame, rules: DataFrame, agent: str = "quern", mode: str = "strict", allow: list[str] | None = None) -> DataFrame:
     """``candidates`` (url) with ``robots_allowed``: the longest matching rule decides, allow on a tie; none allows.
 

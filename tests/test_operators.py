@@ -125,6 +125,43 @@ def test_robots(spark):
     assert robots.delays(rules, "other").first().delay == 2.0 and robots.sitemaps(rules).first().loc == "https://e.com/s.xml"
 
 
+def test_robots_are_fetched_once_in_their_time(spark):
+    asked: list = []
+
+    def files(requests):
+        rows = [r.url for r in requests.collect()]
+        asked.append(sorted(rows))
+        return spark.createDataFrame([(u, 200 if "//e.com" in u else 404, "User-agent: *\nDisallow: /private") for u in rows], "url string, status_code int, html string")
+
+    at = lambda hour: F.lit(datetime(2024, 1, 1, hour)).cast("timestamp")
+    wave = spark.createDataFrame([("https://e.com/private/x",), ("https://e.com/y",), ("http://o.org/private/z",)], "url string")
+    rules = robots.gathered(wave, files, at(0)).cache()
+    assert {r.url: r.robots_allowed for r in robots.check(wave, rules).collect()} == {"https://e.com/private/x": False, "https://e.com/y": True, "http://o.org/private/z": True}
+    robots.gathered(wave, files, F.lit(datetime(2024, 1, 1, 0, 30)).cast("timestamp"), rules).collect()
+    again = robots.gathered(wave, files, at(2), rules)
+    assert again.count() == rules.count() and asked == [["http://o.org/robots.txt", "https://e.com/robots.txt"], [], ["http://o.org/robots.txt", "https://e.com/robots.txt"]]
+    home = spark.createDataFrame([("https://e.com/private/x", "<p>" + "many words are here and there " * 9 + "</p>"), ("https://e.com/", "<p>" + "other words are here and there " * 9 + "</p>")], "url string, html string")
+    done = job.crawl(spark, config.Crawl(seeds=("https://e.com/", "https://e.com/private/x")), lambda r: fetch.captured(r, home), rules=lambda wave: robots.gathered(wave, files, at(0)))
+    assert [r.url for r in done.documents.collect()] == ["https://e.com/"]
+
+
+def test_frontier_by_domain(spark):
+    items = spark.createDataFrame([("https://a.com/1", "pending"), ("https://a.com/2", "failed"), ("https://b.com/", "completed")], "url string, status string")
+    assert {tuple(r) for r in frontier.by_domain(items).collect()} == {("a.com", 1, 0, 0, 1, 2), ("b.com", 0, 0, 1, 0, 1)}
+
+
+def test_site_files(spark):
+    """Neighbours over several ranges, links between files, the source, and no link to what is removed."""
+    rows = [(f"d{i}", f"https://e.com/p{i:02}", f"T{i}", f"See [x](/p{(i + 1) % 30:02}).", i % 3, i == 5) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id string, url string, title string, markdown string, depth int, is_tombstone boolean").repartition(4)
+    got = {r.path: r for r in publish.site(docs, order=("url",)).collect()}
+    assert len(got) == 30 and got["p05/index.md"].action == "tombstone"
+    page = got["p06/index.md"].content
+    assert "*Source: [https://e.com/p06](https://e.com/p06)*" in page and "[x](../p07/index.md)" in page
+    assert page.rstrip().endswith("**Previous:** [T4](../p04/index.md) | **Next:** [T7](../p07/index.md)")
+    assert "Previous" not in got["p00/index.md"].content and "Next" not in got["p29/index.md"].content
+
+
 def test_sitemaps(spark):
     xml = '<urlset xmlns="x"><url><loc>https://e.com/a&amp;b</loc><lastmod>2024-01-02T03:04:05+00:00</lastmod><priority>0.5</priority></url><url><loc>https://e.com/c</loc><lastmod>bad</lastmod></url></urlset>'
     bodies = spark.createDataFrame([("i", "<sitemapindex><sitemap><loc>s</loc></sitemap></sitemapindex>"), ("s", xml)], "source string, body string")
