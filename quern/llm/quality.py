@@ -39,7 +39,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, labelled: in
     Raw counts are of all documents; target counts of the labelled sample's good ones. Add-one smoothing in
     each multinomial. The threshold is the score that best parts the sample's good and bad documents (true
     positive less false positive rate, the lowest such score); without bad ones it is below all good ones'
-    scores, without good ones nothing is rejected."""
+    scores, without good ones nothing is rejected. Of several rows of a labelled id the least score counts."""
     sample = labelled_sample(labels, "quality", labelled, docs).collect()  # bounded by `labelled`
     spark = docs.sparkSession
     known = spark.createDataFrame([(r[0], r[1]) for r in sample], "__id long, __label int")
@@ -56,7 +56,8 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, labelled: in
     weights = np.round(weights, 6)
     if not any(r[1] == 1 for r in sample):
         return np.zeros(buckets), float("-inf")
-    scored = marked.where(F.col("__label").isNotNull()).select("__label", score(F.col("__text"), weights).alias("s")).toPandas().dropna()  # bounded by `labelled`; a filter here would go below the join and score every document
+    scored = marked.where(F.col("__label").isNotNull()).select("__doc", "__label", score(F.col("__text"), weights).alias("s"))
+    scored = scored.groupBy("__doc", "__label").agg(F.min("s").alias("s")).toPandas().dropna()  # a row a labelled id; a filter on scores would go below the join and score every document
     good, bad = np.sort(scored.s[scored["__label"] == 1].to_numpy()), np.sort(scored.s[scored["__label"] == 0].to_numpy())
     if not len(good):
         return weights, float("-inf")

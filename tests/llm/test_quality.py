@@ -37,6 +37,25 @@ def test_brute_force(spark, docs_of, labels_of):
         assert abs(got[r.doc_id].quality_score - s) < 1e-4 and got[r.doc_id].quality_keep == (got[r.doc_id].quality_score >= threshold)
 
 
+def test_threshold_against_brute_force(docs_of, labels_of):
+    """Of all cuts between the labelled scores the lowest good document that parts best, midway to the bad one below it."""
+    rng = np.random.default_rng(8)
+    words = ["river", "hill", "stone", "light", "buy", "now", "click", "win"]
+    rows = [(i, " ".join(rng.choice(words, 12, p=[0.15] * 4 + [0.1] * 4 if i % 3 else [0.12] * 4 + [0.13] * 4))) for i in range(120)]
+    docs, labels = docs_of(rows), labels_of([(i, int(i % 3 > 0), 0) for i in range(60)])
+    scores = {r.doc_id: r.quality_score for r in quality.quality(docs, labels).collect()}
+    good, bad = [scores[i] for i in range(60) if i % 3], [scores[i] for i in range(60) if not i % 3]
+    gain = lambda t: sum(s >= t for s in good) / len(good) - sum(s >= t for s in bad) / len(bad)
+    best = min(good, key=lambda t: (-round(gain(t), 12), t))
+    below = [s for s in bad if s < best]
+    want = (best + max(below)) / 2 if below else best
+    assert abs(quality.fit(docs, labels)[1] - want) < 1e-9 and 0 < len(below) < len(bad)
+    # rows of a labelled id count once, however many there are
+    again = docs.unionByName(docs.where("doc_id = 3")).unionByName(docs.where("doc_id = 3"))
+    weights, threshold = quality.fit(again, labels)
+    assert threshold != float("-inf") and len(weights) == quality.BUCKETS
+
+
 def test_features(spark):
     row = spark.createDataFrame([("ab cd cd",)], "text string").select(quality.features(F.col("text")).alias("f")).first().f
     token = lambda w: (xxhash.xxh64_intdigest(w.encode(), seed=42) + 2**63) % 2**64 - 2**63
