@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,6 +94,31 @@ def _rows(chunks: list[tuple]) -> list[dict]:
     return [dict(zip(names, c), chunk_index=i, total_chunks=len(chunks), estimated_tokens=len(c[3]) // 4) for i, c in enumerate(chunks)]
 
 
+def counter(path: str, pattern: str = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""") -> Callable[[str], int]:
+    """Counts tokens of a byte-pair encoding, whose rank file (base64 piece and rank a line) is at ``path`` on every worker; for ``count`` of by_tokens."""
+
+    def count(text: str) -> int:
+        return len(_encoding(path, pattern).encode_ordinary(text))
+
+    return count
+
+
+@lru_cache(maxsize=2)
+def _encoding(path: str, pattern: str):
+    import base64
+
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def with_documents(chunks: DataFrame, docs: DataFrame, key: str, *columns: str) -> DataFrame:
+    """``chunks`` with these columns of their documents; chunks without one keep nulls."""
+    return chunks.join(docs.select(key, *columns), key, "left")
+
+
 def _placed(text: str, parts: list[str], overlap: int) -> list[tuple]:
     out, at = [], 0
     for i, p in enumerate(parts):

@@ -118,6 +118,13 @@ def chunk_heading_split(spark, sf_dir):
     return chunking.heading_chunks(_talks(spark, sf_dir), "conv_id").select("conv_id", "chunk_id", "level", "section_path", "content", "is_first", "is_last")
 
 
+def chunk_documents(spark, sf_dir):
+    """Every chunk with what is known of its conversation."""
+    whole = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.max("turn").alias("last_turn"))
+    chunks = chunking.heading_chunks(_talks(spark, sf_dir), "conv_id").select("conv_id", "chunk_id")
+    return chunking.with_documents(chunks, whole, "conv_id", "turns", "last_turn").select("conv_id", "chunk_id", "turns", "last_turn")
+
+
 def chunk_token(spark, sf_dir):
     return chunking.token_chunks(docs(spark, sf_dir), "doc_id", "text").select("doc_id", "chunk_id", "content", "total_chunks", "overlap_tokens", "estimated_tokens")
 
@@ -135,7 +142,7 @@ def export_jsonl(spark, sf_dir):
     return publish.json_lines(docs(spark, sf_dir).select("doc_id", "text", "lang", "source", "n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (quality_gate, duplicate_first_wins, content_hash_groups, language_heuristic, word_counts, source_summary, pii_redact, markdown_plain_text, entity_decode, change_events, change_summary, noise_hash_change, header_responses, diff_ratio, heading_sections, chunk_heading, chunk_heading_split, chunk_token, chunk_window, export_jsonl)}
+QUERIES = {f.__name__: f for f in (quality_gate, duplicate_first_wins, content_hash_groups, language_heuristic, word_counts, source_summary, pii_redact, markdown_plain_text, entity_decode, change_events, change_summary, noise_hash_change, header_responses, diff_ratio, heading_sections, chunk_heading, chunk_heading_split, chunk_documents, chunk_token, chunk_window, export_jsonl)}
 
 WORDS = r"(CASE WHEN regexp_replace(text, '^\s+|\s+$', '', 'g') = '' THEN 0 ELSE len(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+')) END)"
 SQUEEZED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
@@ -195,6 +202,7 @@ SQL = {
         WITH noisy AS (SELECT doc_id, text || ' 12:34 pm 1,204 views session_id=ab12' || CASE WHEN doc_id % 5 = 0 THEN ' truly new' ELSE '' END AS text FROM documents)
         SELECT doc_id, o.bare IS DISTINCT FROM n.bare AS changed FROM (SELECT doc_id, {BARE} AS bare FROM documents) o JOIN (SELECT doc_id, {BARE} AS bare FROM noisy) n USING (doc_id)""",
     "chunk_heading_split": PIECES,
+    "chunk_documents": f"SELECT c.conv_id, c.chunk_id, t.turns, t.last_turn FROM ({PIECES}) c LEFT JOIN (SELECT conv_id, count(*) AS turns, max(turn) AS last_turn FROM conversations GROUP BY conv_id) t ON t.conv_id = c.conv_id",
     "header_responses": """
         WITH s AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 200 WHEN 1 THEN 304 WHEN 2 THEN 404 WHEN 3 THEN 410 WHEN 4 THEN 500 ELSE 206 END AS status FROM documents)
         SELECT doc_id, CASE WHEN status = 304 THEN 'unchanged' WHEN status IN (404, 410) THEN 'deleted' WHEN status BETWEEN 200 AND 299 THEN 'changed' ELSE 'failed' END AS outcome,

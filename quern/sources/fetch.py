@@ -40,14 +40,14 @@ def outcome(code: int | None) -> str:
     return "not_modified" if code == 304 else "gone" if code in (404, 410) else "success" if 200 <= code < 400 else "error"
 
 
-def fetch(requests: DataFrame, fetcher: Fetcher, retries: int = 3, wait: float = 1.0, delay: float = 0.0, threads: int = 8) -> DataFrame:
-    """Results of ``requests`` (url, and etag and last_modified if there are any), with bounded retries.
+def fetch(requests: DataFrame, fetcher: Fetcher, retries: int = 3, wait: float = 1.0, delay: float = 0.0, threads: int = 8, in_order: bool = False) -> DataFrame:
+    """Results of ``requests`` (url, and etag and last_modified if there are any), with bounded retries; with ``in_order`` in the requests' order.
 
     URLs of one host go to one task, one after another with ``delay`` between them; tasks fetch hosts side by side."""
 
     def one(row) -> dict:
         conditional = {h: v for h, v in (("If-None-Match", row.get("etag")), ("If-Modified-Since", row.get("last_modified"))) if isinstance(v, str)}
-        out = {"url": row["url"], "status_code": None, "html": None, "etag": None, "last_modified": None, "final_url": None, "error": None}
+        out = {"url": row["url"], "place": row.get("place"), "status_code": None, "html": None, "etag": None, "last_modified": None, "final_url": None, "error": None}
         began = time.perf_counter()
         for attempt in range(1, retries + 2):
             try:
@@ -61,7 +61,9 @@ def fetch(requests: DataFrame, fetcher: Fetcher, retries: int = 3, wait: float =
         timed_out = (out["error"] or "").startswith("TimeoutError")
         return out | {"status": "timeout" if timed_out else outcome(out["status_code"]), "latency_ms": (time.perf_counter() - began) * 1000, "attempts": attempt}
 
-    names = [c.split()[0] for c in RESULT.split(", ")]
+    schema = RESULT + (", place long" if in_order else "")
+    names = [c.split()[0] for c in schema.split(", ")]
+    requests = requests.withColumn("place", F.monotonically_increasing_id()) if in_order else requests
 
     def run(batches):
         for pdf in batches:
@@ -79,7 +81,8 @@ def fetch(requests: DataFrame, fetcher: Fetcher, retries: int = 3, wait: float =
                 done = [r for rows in pool.map(host, groups) for r in rows]
             yield pd.DataFrame(done, columns=names).astype({"status_code": "Int32", "attempts": "Int32"})
 
-    return requests.withColumn("host", urls.host(F.col("url"))).repartition("host").mapInPandas(run, RESULT)
+    got = requests.withColumn("host", urls.host(F.col("url"))).repartition("host").mapInPandas(run, schema)
+    return got.orderBy("place").drop("place") if in_order else got
 
 
 def captured(requests: DataFrame, web: DataFrame) -> DataFrame:

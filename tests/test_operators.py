@@ -178,6 +178,16 @@ def test_fetch_retries(spark):
     req = spark.createDataFrame([("https://e.com/a", None), ("https://e.com/b", "tag"), ("https://o.com/fail", None)], "url string, etag string")
     got = {r.url: (r.status, r.attempts) for r in fetch.fetch(req, flaky, retries=1, wait=0).collect()}
     assert got == {"https://e.com/a": ("success", 1), "https://e.com/b": ("not_modified", 1), "https://o.com/fail": ("timeout", 2)}
+    assert [r.url for r in fetch.fetch(req.repartition(3), flaky, retries=0, wait=0, in_order=True).collect()] == [r.url for r in req.repartition(3).collect()]
+
+
+def test_chunks_counted_by_an_encoding(spark):
+    text = "Überraschung und noch mehr davon. " * 40
+    count = chunking.counter("/opt/tokenizers/byte_bpe_50k.tiktoken")
+    docs = spark.createDataFrame([("d", text)], "doc_id string, markdown string")
+    got = chunking.token_chunks(docs, "doc_id", size=64, overlap=0, count=count).collect()
+    assert len(got) > 3 and all(count(r.content) <= 64 for r in got) and "".join(r.content for r in got).replace(" ", "") == text.replace(" ", "")
+    assert chunking.with_documents(spark.createDataFrame([("d", 1), ("e", 2)], "doc_id string, k int"), docs, "doc_id", "markdown").where("markdown IS NULL").count() == 1
 
 
 def test_store(spark, tmp_path):
