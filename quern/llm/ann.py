@@ -83,8 +83,10 @@ class Hashes:
 class Store:
     """Vectors and tables in a folder, each mapped when first looked at."""
 
-    def __init__(self, folder: str, hashes: Hashes, bits: int):
+    def __init__(self, folder: str, hashes: Hashes, bits: int, hot: dict[tuple[int, int], tuple[int, int]]):
         self.folder, self.hashes, self.bits, self.maps = folder, hashes, bits, {}
+        self.hot = hot
+        self.hot_keys = {t: np.array(sorted(k for u, k in hot if u == t), np.uint64) for t in {t for t, _ in hot}}
 
     def array(self, name: str):
         if name not in self.maps:
@@ -97,6 +99,12 @@ class Store:
         found = []
         for t, keys in enumerate(self.hashes.probes(x)):
             keys = np.unique(keys)
+            if t in self.hot_keys:
+                own = np.isin(keys, self.hot_keys[t])
+                for key in keys[own].tolist():
+                    first, n = self.hot[t, key]
+                    found += [x for x in (self.array(f"t{first + j}.rows") for j in range(n)) if x is not None]
+                keys = keys[~own]
             shard = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
             for s in np.unique(shard).tolist():
                 index = self.array(f"t{t << self.bits | s}.keys")
@@ -160,7 +168,7 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, every: int = 1, tables:
     distance, ties by id. The buckets' ``width`` is fit to the data unless it is given: for a sample of at most SAMPLE
     queries, those of least hash, neighbours are found exactly among all rows, and the least of WIDTHS at which the
     tables find RECALL of them is taken, so that buckets get narrower as neighbours get nearer. No candidate is dropped, so
-    a query of few neighbours in reach has fewer than ``k``.
+    a query of few neighbours in reach has fewer than ``k``. A bucket that a shard can't hold has shards of its own.
 
     Equal vectors are indexed once, with the ``k`` + 1 least ids that have them: no other can be among anyone's ``k`` nearest,
     as ties go by id. So a vector that many rows share costs no more than one. Repeated rows and those of null ids are
@@ -231,6 +239,22 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, every: int = 1, tables:
 
     hashes = fit() if width is None else Hashes(dims, width, tables, projections, probes)
 
+    def frequent(batches):
+        for b in batches:
+            for part, a, z in zip(*(b.column(c).to_pylist() for c in range(3))):
+                keys = hashes.buckets(load(part, ("vectors",), a, z)[0])
+                for t in range(tables):
+                    key, m = np.unique(keys[:, t], return_counts=True)
+                    some = m >= (z - a) * least / n
+                    yield pa.RecordBatch.from_pydict({"t": np.full(int(some.sum()), t), "key": key[some].view(np.int64), "n": m[some]})
+
+    # a bucket of twice `least` entries has at least half of them where it is named; with one shard a table none is too large
+    least, hot, shards = SHARD / 4, {}, tables << bits
+    if bits:
+        for r in blocks(20_000).mapInArrow(frequent, "t long, key long, n long").groupBy("t", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy("t", "key").collect():
+            hot[r.t, int(np.int64(r.key).view(np.uint64))] = shards, max(1, -(-2 * r.n // SHARD))
+            shards += hot[r.t, int(np.int64(r.key).view(np.uint64))][1]
+
     def bucket(batches):
         for b in batches:
             for part, a, z in zip(*(b.column(c).to_pylist() for c in range(3))):
@@ -239,8 +263,13 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, every: int = 1, tables:
                 for t in range(tables):
                     order = np.argsort(keys[:, t])
                     key = keys[order, t]
-                    shard = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
-                    yield blobs(shard + (t << bits), key, rows[order])
+                    shard = ((key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)) + (t << bits)
+                    for (u, k_), (first, parts_) in hot.items():
+                        if u == t:  # a bucket with shards of its own
+                            here = np.flatnonzero(key == np.uint64(k_))
+                            shard[here] = first + rows[order[here]] % parts_
+                    by = np.argsort(shard, kind="stable") if hot else slice(None)
+                    yield blobs(shard[by], key[by], rows[order][by])
 
     def build(key, got):
         keys, rows = joined(got, "b0", np.uint64), joined(got, "b1", np.int64)
@@ -253,7 +282,7 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, every: int = 1, tables:
     blocks(20_000).mapInArrow(bucket, "shard long, b0 binary, b1 binary").groupBy("shard").applyInArrow(build, "n long").agg(F.sum("n")).collect()
 
     def search(batches):
-        store = once("ann", folder, lambda: Store(folder, hashes, bits))
+        store = once("ann", folder, lambda: Store(folder, hashes, bits, hot))
         for b in batches:
             for part, a, z in zip(*(b.column(c).to_pylist() for c in range(3))):
                 x = store.array(f"p{part}.vectors")

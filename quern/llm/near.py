@@ -143,18 +143,22 @@ def near_edges(nodes: DataFrame, most: int = DISTANCE) -> DataFrame:
     come together in one shuffle; their true distance decides."""
     if most > DISTANCE:
         raise ValueError(f"the chunks guarantee distances up to {DISTANCE}")
-    chunk = F.expr("CASE CAST(tag / 33 AS INT) WHEN 0 THEN shiftrightunsigned(hi, 32) WHEN 1 THEN hi & 4294967295L WHEN 2 THEN shiftrightunsigned(lo, 32) ELSE lo & 4294967295L END")
-    flip = F.expr("CASE WHEN tag % 33 = 0 THEN 0L ELSE shiftleft(1L, tag % 33 - 1) END")
-    key = F.expr("shiftleft(CAST(tag / 33 AS BIGINT), 32)").bitwiseOR(chunk.bitwiseXOR(flip))
-    rows = nodes.select("node", "hi", "lo", F.explode(F.sequence(F.lit(0), F.lit(33 * CHUNKS - 1))).alias("tag")).select("node", "hi", "lo", "tag", key.alias("key"))
+    tag = "CAST(place % 256 AS INT)"
+    chunk = F.expr(f"CASE CAST({tag} / 33 AS INT) WHEN 0 THEN shiftrightunsigned(hi, 32) WHEN 1 THEN hi & 4294967295L WHEN 2 THEN shiftrightunsigned(lo, 32) ELSE lo & 4294967295L END")
+    flip = F.expr(f"CASE WHEN {tag} % 33 = 0 THEN 0L ELSE shiftleft(1L, {tag} % 33 - 1) END")
+    key = F.expr(f"shiftleft(CAST({tag} / 33 AS BIGINT), 32)").bitwiseOR(chunk.bitwiseXOR(flip))
+    # node and tag in one number and the signature are all that is shuffled; the key is made again from them
+    tags = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(33 * CHUNKS - 1).cast("long")))
+    rows = nodes.select("node", "hi", "lo", tags.alias("tag")).select((F.col("node") * 256 + F.col("tag")).alias("place"), "hi", "lo")
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() * 33 * CHUNKS // 1_000_000)
 
     def join(batches):
-        got = [[b.column(k).to_numpy() for k in range(5)] for b in batches]
+        got = [[b.column(k).to_numpy() for k in range(4)] for b in batches]
         if not got:
             return
-        node, hi, lo, tag, keys = (np.concatenate([g[k] for g in got]) for k in range(5))
+        place, hi, lo, keys = (np.concatenate([g[k] for g in got]) for k in range(4))
         del got
+        node, tag = place >> 8, (place & 255).astype(np.int32)
         again = np.zeros(len(keys), bool)
         same = keys[1:] == keys[:-1]
         again[1:] |= same
@@ -163,7 +167,7 @@ def near_edges(nodes: DataFrame, most: int = DISTANCE) -> DataFrame:
         u, v, mine, theirs = run_pairs(keys[again], sig, node[again], tag[again], most)
         yield pa.RecordBatch.from_pydict({"u": u, "v": v, "mine": mine, "theirs": theirs})
 
-    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(join, "u long, v long, mine long, theirs long")
+    return rows.repartition(parts, key).withColumn("key", key).sortWithinPartitions("key").mapInArrow(join, "u long, v long, mine long, theirs long")
 
 
 def classes(docs: DataFrame, most: int = DISTANCE) -> DataFrame:

@@ -115,7 +115,8 @@ def packed(docs: DataFrame, length: Column | None = None, tiers: tuple[int, ...]
     best; the gaps of longer windows then take the largest pieces of shorter tiers that fit. Windows of a tier
     are dealt to step groups by the tokens they hold, there and back, so that groups hold nearly as much.
 
-    Pieces are packed in buckets by hash of id and length, of about ``bucket`` documents each. Pieces of windows
+    Pieces are packed in buckets by hash of id, length and the number of the row among those of this id and length, of
+    about ``bucket`` documents each. Pieces of windows
     that are less than FULL are then packed again, TOGETHER times ``bucket`` of them in a task, which is all of them
     unless there are more; that goes on while it takes fewer tasks than before. Steps are dealt over all windows of
     a tier. Window numbers carry the bucket and are unique. ``length`` defaults to ``tokens(text)``. Null, empty or
@@ -125,8 +126,14 @@ def packed(docs: DataFrame, length: Column | None = None, tiers: tuple[int, ...]
     long = tiers[-1]
     size = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (length if length is not None else tokens(F.col("text"))).cast("long").alias("__n")).where("__n > 0")
     buckets = max(1, -(-docs.select(F.lit(1)).count() // bucket))
+    if buckets > 1:  # rows of one id and length are counted, numbered and spread, however many there are
+        same = size.groupBy("doc_id", "__n").agg(F.count(F.lit(1)).alias("__copies"))
+        some = same.select("doc_id", "__n", "__copies", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1, F.lit(bucket).cast("long"))).alias("__first"))
+        size = some.select("doc_id", "__n", F.explode(F.sequence(F.col("__first"), F.least(F.col("__first") + bucket, F.col("__copies")) - 1)).alias("__copy"))
+    else:
+        size = size.withColumn("__copy", F.lit(0).cast("long"))
     pieces = size.select(
-        "doc_id", "__n", F.pmod(F.xxhash64("doc_id", "__n"), F.lit(buckets)).cast("int").alias("__bucket"),
+        "doc_id", "__n", F.pmod(F.xxhash64("doc_id", "__n", "__copy"), F.lit(buckets)).cast("int").alias("__bucket"),
         F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / long).cast("int"))).alias("piece"),
     )
     # a document of one piece has its length, others are full but for the last
@@ -155,7 +162,7 @@ def packed(docs: DataFrame, length: Column | None = None, tiers: tuple[int, ...]
             parts.append(got)
             break
         parts.append(got.where(F.col("held") >= F.col("tier") * FULL))
-        pieces, buckets = loose.select("doc_id", "piece", "start", "n_tokens", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(fewer)).cast("int").alias("__bucket")), fewer
+        pieces, buckets = loose.select("doc_id", "piece", "start", "n_tokens", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens", "window", "offset"), F.lit(fewer)).cast("int").alias("__bucket")), fewer
     return stepped(reduce(DataFrame.unionByName, parts).drop("step"), tiers, step_tokens)
 
 
@@ -174,3 +181,13 @@ def stepped(pieces: DataFrame, tiers: tuple[int, ...], step_tokens: int) -> Data
         before += g
     steps = each.withColumn("turn", turn).select("window", step.alias("step"))
     return pieces.drop("held").join(steps, "window").select("doc_id", "piece", "start", "n_tokens", "tier", "window", "offset", "step")
+
+
+def filled(pieces: DataFrame, coded: DataFrame, end: int) -> DataFrame:
+    """(tier, window, step, ids) of every window: its pieces' tokens one after another, each document's followed by ``end``.
+
+    ``pieces`` come from ``packed`` by lengths that count the end, ``coded`` (doc_id, ids) from bpe.encode, a row a doc_id. Only
+    the tokens that a window holds come together, so no group is larger than a tier."""
+    tokens_ = F.slice(F.concat("ids", F.array(F.lit(end))), F.col("start").cast("int") + 1, F.col("n_tokens").cast("int"))
+    parts = pieces.join(coded.select("doc_id", "ids"), "doc_id").select("tier", "window", "step", F.struct("offset", tokens_.alias("ids")).alias("part"))
+    return parts.groupBy("tier", "window", "step").agg(F.flatten(F.transform(F.sort_array(F.collect_list("part")), lambda x: x["ids"])).alias("ids"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
-from math import exp, log
+from math import exp, log, log1p
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import fresh, once, posix, put, shared_folder, words
+from quern.llm.lm import discounts as kneser_ney
 from quern.llm.quality import labelled_sample
 
 #: Letters of a context and the one after it; contexts begin at the word's start, marked "^", and "$" ends it.
@@ -25,15 +26,21 @@ LABELLED = 20_000
 SHARE = 0.02
 #: One labelled document of so many is held out from the models and sets the threshold.
 HELD_OUT = 4
-DISCOUNT = 0.75
 #: Words whose scores a worker remembers at once.
 MEMORY = 300_000
 _WORD = re.compile(r"[^\W_]+")
 
 
 def discounts(c: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney style, by count; what a class saw in one document alone says nothing of it."""
-    return np.select([c == 0, c == 1, c == 2], [0.0, 1.0, 1.25], 1.5)
+    """What modified Kneser-Ney takes from each of these counts, by how many of them are 1, 2, 3 and 4."""
+    d = kneser_ney(np.array([(c == k).sum() for k in (1, 2, 3, 4)]))
+    return np.select([c == 0, c == 1, c == 2], [0.0, d[0], d[1]], d[2])
+
+
+def discount(n: np.ndarray) -> float:
+    """The one discount of plain Kneser-Ney, from how many counts are 1 and 2."""
+    ones, twos = int((n == 1).sum()), int((n == 2).sum())
+    return ones / (ones + 2 * twos) if ones and twos else 0.75
 
 
 def _cut(grams: pa.Array, first: int, last: int | None) -> pa.Array:
@@ -53,11 +60,11 @@ def shared_model(grams: pa.Array) -> tuple[pa.Array, np.ndarray]:
     context, contexts = _codes(_cut(seen, 0, -1))
     total, types = np.bincount(context, n, len(contexts)), np.bincount(context, minlength=len(contexts))
     lower = pc.index_in(_cut(seen, 1, None), value_set=seen).fill_null(-1).to_numpy(zero_copy_only=False)
-    p = np.zeros(len(seen))
+    p, d = np.zeros(len(seen)), discount(n)
     for length in range(1, ORDER):
         at = size == length
         below = p[lower[at]] if length > 1 else 1.0 / ((size == 1).sum() + 1)
-        p[at] = (np.maximum(n[at] - DISCOUNT, 0) + DISCOUNT * types[context[at]] * below) / total[context[at]]
+        p[at] = (np.maximum(n[at] - d, 0) + d * types[context[at]] * below) / total[context[at]]
     return seen, p
 
 
@@ -99,7 +106,8 @@ class Models:
             gram = marked[max(0, end - ORDER) : end]
             s = get(gram)
             r += get(gram[:-1] + "\0", 0.0) if s is None else s
-        r = log(1 - SHARE + SHARE * exp(min(r, 500.0)))
+        a, b = log(1 - SHARE), log(SHARE) + r
+        r = max(a, b) + log1p(exp(-abs(a - b)))
         if len(self.known) >= MEMORY:
             self.known.clear()
         self.known[word] = r
@@ -147,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[s
     sample = labelled_sample(labels, "toxic", labelled, docs).collect()
     known = docs.sparkSession.createDataFrame([(r[0], r[1]) for r in sample], "__id long, toxic int")
     known = known.withColumn("held", F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(HELD_OUT)) == 0)
-    marked = docs.select(F.col("doc_id").alias("__doc"), F.col("text").alias("text")).join(F.broadcast(known), F.col("__doc") == F.col("__id")).select("toxic", "held", "text")
+    marked = docs.select(F.col("doc_id").alias("__doc"), F.col("text").alias("text")).join(F.broadcast(known), F.col("__doc") == F.col("__id")).select("__doc", "toxic", "held", "text")
     each = marked.where("not held").select("toxic", F.explode(F.array_distinct(words(F.lower("text")))).alias("word")).groupBy("word")
     each = each.agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("t"), F.count(F.when(F.col("toxic") == 0, 1)).alias("o"))
     word = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
@@ -156,7 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[s
     counted = each.select(F.explode(grams).alias("gram"), "t", "o").groupBy("gram").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     path = f"{posix(shared_folder(docs.sparkSession, 'toxic'))}/models.arrow"
     save(counted.toArrow(), path)
-    scores = scored(marked, path, "s").select("toxic", "held", "s").toPandas().dropna()  # a filter here would go below the join and score every document
+    # a row a labelled id, of several rows the least score; a filter on scores would go below the join and score every document
+    scores = scored(marked, path, "s").groupBy("__doc", "toxic", "held").agg(F.min("s").alias("s")).toPandas().dropna()
     apart = scores[scores.held]
     return path, threshold(apart if (apart.toxic == 1).any() and (apart.toxic == 0).any() else scores)
 

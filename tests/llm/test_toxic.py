@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -56,31 +57,88 @@ def test_probabilities_sum_to_one():
     by_context = {}
     for g, q in zip(seen.to_pylist(), p):
         by_context.setdefault(g[:-1], []).append(q)
-    assert abs(sum(by_context[""]) + 0.75 * len(by_context[""]) / sum(1 for g in c if len(g) == 2) / (len(by_context[""]) + 1) - 1) < 1e-9
+    n = Counter(g[1:] for g in c if len(g) > 1)
+    d = toxic.discount(np.array(list(n.values())))
+    assert abs(sum(by_context[""]) + d * len(by_context[""]) / sum(1 for g in c if len(g) == 2) / (len(by_context[""]) + 1) - 1) < 1e-9
+
+
+def by_counts(n, modified=True):
+    """Kneser-Ney discounts from counts of counts."""
+    n1, n2, n3, n4 = (sum(x == k for x in n) for k in (1, 2, 3, 4))
+    if not modified:
+        return n1 / (n1 + 2 * n2) if n1 and n2 else 0.75
+    if not (n1 and n2):
+        return [0, 0.5, 0.75, 0.9]
+    y = n1 / (n1 + 2 * n2)
+    d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 2.0]
+    return [0, *(min(max(x, 0.05), k + 0.95) for k, x in enumerate(d))]
+
+
+class Brute:
+    """The two models and their shared backoff by dictionaries, from words with their counts of toxic and ordinary documents."""
+
+    def __init__(self, words):
+        self.c = counted(words)
+        self.before = Counter(g[1:] for g in self.c if len(g) > 1)
+        self.d = by_counts(list(self.before.values()), False)
+        self.letters = sum(len(g) == 1 for g in self.before)
+        whole = {g: x for g, x in self.c.items() if len(g) > 1 and (len(g) == toxic.ORDER or g[0] == "^")}
+        self.of, self.by = {}, [by_counts([x[k] for x in whole.values()]) for k in (0, 1)]
+        for g, x in whole.items():
+            self.of.setdefault(g[:-1], {})[g] = x
+        self.after = {}
+        for g, n in self.before.items():
+            self.after.setdefault(g[:-1], []).append(n)
+
+    def shared(self, gram):
+        """P of the last letter by continuation counts, backed off to one letter less, at last to all letters and one unknown."""
+        below = self.shared(gram[1:]) if len(gram) > 1 else 1 / (self.letters + 1)
+        n = self.after.get(gram[:-1])
+        return below if n is None else (max(self.before.get(gram, 0) - self.d, 0) + self.d * len(n) * below) / sum(n)
+
+    def ratio(self, word):
+        total, marked = 0.0, f"^{word}$"
+        for end in range(2, len(marked) + 1):
+            gram = marked[max(0, end - toxic.ORDER) : end]
+            if gram[:-1] not in self.of:
+                continue  # nothing is left of the ratio
+            p = []
+            for k in (0, 1):
+                n = [x[k] for x in self.of[gram[:-1]].values()]
+                d = lambda x, k=k: self.by[k][min(x, 3)]
+                mine = self.of[gram[:-1]].get(gram, (0, 0))[k]
+                spare = sum(map(d, n)) / sum(n) if sum(n) else 1.0
+                p.append((mine - d(mine)) / max(1, sum(n)) + spare * self.shared(gram[1:]))
+            total += math.log(p[0] / p[1])
+        return math.log(1 - toxic.SHARE + toxic.SHARE * math.exp(total))
 
 
 def test_ratio_by_definition(tmp_path):
     c = counted(WORDS)
     toxic.save(pa.table({"gram": list(c), "t": [x[0] for x in c.values()], "o": [x[1] for x in c.values()]}), str(tmp_path / "m"))
-    m = toxic.Models.load(str(tmp_path / "m"))
-    seen, p = toxic.shared_model(pa.array(list(c)))
-    shared = dict(zip(seen.to_pylist(), p))
-    d = lambda n: 0 if n == 0 else 1 if n == 1 else 1.25 if n == 2 else 1.5
-
-    def conditional(gram, k):
-        after = {g: x[k] for g, x in c.items() if g[:-1] == gram[:-1] and len(g) == len(gram)}
-        total = sum(after.values())
-        q = shared.get(gram[1:], 1.0)  # of a letter unseen after a known context the shared part falls out
-        return q if not total else (after.get(gram, 0) - d(after.get(gram, 0)) + sum(map(d, after.values())) * q) / total
-
-    for word in ("grumble", "grumbling", "gardener", "zzz"):
-        marked = f"^{word}$"
-        want = 0.0
-        for end in range(2, len(marked) + 1):
-            gram = marked[max(0, end - toxic.ORDER) : end]
-            want += math.log(conditional(gram, 0) / conditional(gram, 1))
-        assert abs(m.ratio(word) - math.log(0.98 + 0.02 * math.exp(want))) < 1e-9
-    assert m.ratio("grumbling") > 1 > m.ratio("garden") and abs(m.ratio("zzz")) < 0.2 and m.score(None) is None and m.score("!!") is None
+    m, brute = toxic.Models.load(str(tmp_path / "m")), Brute(WORDS)
+    for word in (*WORDS, "grumbling", "gardener", "zzz", "g", "le"):
+        assert abs(m.ratio(word) - brute.ratio(word)) < 1e-9, word
+    assert m.ratio("grumbling") > m.ratio("garden") and m.score(None) is None and m.score("!!") is None
+
+
+def test_scores_by_brute_force(spark, docs_of, labels_of):
+    """From labelled texts to every document's score."""
+    docs, labels, _ = corpus(docs_of, labels_of)
+    held = {r.doc_id for r in labels.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(toxic.HELD_OUT)) == 0).collect()}
+    mark, texts, words = {r.doc_id: r.toxic for r in labels.collect()}, {r.doc_id: r.text for r in docs.collect()}, {}
+    for i in set(mark) - held:
+        for w in set(texts[i].split()):
+            words.setdefault(w, [0, 0])[1 - mark[i]] += 1
+    brute = Brute(words)
+    for r in toxic.toxicity(docs, labels).collect():
+        each = [brute.ratio(w) for w in r.text.split()]
+        assert abs(r.toxic_score - sum(each) / len(each)) < 1e-9
+
+
+def test_far_scores_do_not_saturate():
+    m = toxic.Models({"^a": 700.0, "^b": 800.0, "a$": 0.0})
+    assert math.isfinite(m.ratio("a")) and m.ratio("b") > m.ratio("a") > 600
 
 
 def test_odd_rows(odd, docs_of, labels_of):
