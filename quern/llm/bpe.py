@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh, let, load_array, number_list, once, posix, put, ragged, save_array, shared_folder, table
+from quern.llm.common import fresh, let, load_array, number_list, once, posix, put, ragged, save_array, shared_folder, slim, table
 
 #: The pattern of the rank files, with Unicode's white space; its alternatives in the order of how often they match, as
 #: those that swap places begin with other letters, and without giving back letters where that can't help.
@@ -160,7 +160,9 @@ def n_tokens(text: Column, ranks: dict[bytes, int]) -> Column:
 
         pattern = PATTERN.removeprefix("(?U)")
         encoder = once("encoder", key, lambda: tiktoken.Encoding(key, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}))
-        return pa.array([None if t is None else count_tokens(t, encoder, ranks) for t in texts.to_pylist()], pa.int64())
+        out = pa.array([None if t is None else count_tokens(t, encoder, ranks) for t in (x.as_py() for x in texts)], pa.int64())
+        slim()
+        return out
 
     return counted(text)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -149,3 +150,13 @@ def once(kind: str, key: object, make: Callable[[], object]) -> object:
         _kept.pop(kind, None)
         _kept[kind] = key, make()
     return _kept[kind][1]
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+
+
+def slim() -> None:
+    """Gives the memory that a Python worker has freed back to the system, so that workers don't stay as large as their largest batch."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)

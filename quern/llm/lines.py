@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh, let, load_array, once, posix, save_array, shared_folder, table
+from quern.llm.common import fresh, let, load_array, once, posix, save_array, shared_folder, slim, table
 
 #: Distinct lines that one shard holds, about.
 SHARD_LINES = 500_000
@@ -150,6 +150,7 @@ def index(docs: DataFrame, shard_lines: int = SHARD_LINES) -> tuple[str, int]:
         os.makedirs(folder, exist_ok=True)
         for name in PARTS:  # owners last: they say that the shard is whole
             save_array(f"{folder}/{n}.{name}.npy", arrays[name])
+        slim()
         return pa.table({"shard": [n], "n": [len(keys)]})
 
     shard = F.shiftrightunsigned("line", 64 - bits).cast("long") if bits else F.lit(0).cast("long")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh, let, ragged, table, words
+from quern.llm.common import fresh, let, ragged, slim, table, words
 from quern.llm.components import components
 from quern.llm.lines import mix
 
@@ -46,6 +46,7 @@ def signed(hashes: pa.Array) -> pa.Array:
     values, offsets = ragged(hashes)
     out = signatures(np.asarray(values), offsets)
     none = np.diff(offsets) == 0
+    slim()
     return pa.StructArray.from_arrays([pa.array(out[:, k].view(np.int64)) for k in (0, 1)], ["hi", "lo"], mask=pa.array(none))
 
 
@@ -165,6 +166,8 @@ def near_edges(nodes: DataFrame, most: int = DISTANCE) -> DataFrame:
         again[:-1] |= same
         sig = np.stack([hi[again].view(np.uint64), lo[again].view(np.uint64)], axis=1)
         u, v, mine, theirs = run_pairs(keys[again], sig, node[again], tag[again], most)
+        del place, hi, lo, keys, node, tag, sig, again, same
+        slim()
         yield pa.RecordBatch.from_pydict({"u": u, "v": v, "mine": mine, "theirs": theirs})
 
     return rows.repartition(parts, key).withColumn("key", key).sortWithinPartitions("key").mapInArrow(join, "u long, v long, mine long, theirs long")
