@@ -1,4 +1,4 @@
-"""Chunkers: heading sections as native expressions with a fold, tokens by packing in one Arrow call."""
+"""Chunkers: heading sections as native expressions with a fold, tokens by packing in Arrow calls."""
 
 from __future__ import annotations
 
@@ -8,9 +8,12 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _HEADING = re.compile(r"^(#{1,6})\s+(.+?)$", re.M)
 CHUNK = "struct<chunk_index:int,total_chunks:int,heading:string,level:int,section_path:string,content:string,start:int,end:int,overlap_tokens:int,estimated_tokens:int>"
+#: A worker passes chunks on once they come to so many characters, with some more for each row: beside the Arrow batch it holds no more than that and one document.
+HELD, ROW = 1 << 20, 256
 
 
 def _pieces(text: str, most: int, sentences: bool) -> Iterator[tuple[int, str]]:
@@ -130,15 +133,34 @@ def _placed(text: str, parts: list[str], overlap: int) -> list[tuple]:
 
 
 def _exploded(docs: DataFrame, key: str, text: str, fn: Callable[[str, str | None], list[dict]], title: str | None) -> DataFrame:
-    @F.arrow_udf(f"array<{CHUNK}>")
-    def chunks(texts, titles):
-        import pyarrow as pa
+    given = docs.select(F.col(key), F.col(text).alias("_text"), (F.col(title) if title else F.lit(None).cast("string")).alias("_title"))
+    name = given.columns[0]
 
-        kind = pa.list_(pa.struct([("chunk_index", pa.int32()), ("total_chunks", pa.int32()), ("heading", pa.string()), ("level", pa.int32()), ("section_path", pa.string()), ("content", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("overlap_tokens", pa.int32()), ("estimated_tokens", pa.int32())]))
-        return pa.array([fn(x, t) if x else [] for x, t in zip(texts.to_pylist(), titles.to_pylist())], kind)
+    def chunks(batches):
+        import pyarrow as pa
 
-    chunks = chunks.asNondeterministic()  # else the filter that explode brings would have it run twice
-    made = docs.select(F.col(key), chunks(F.col(text), F.col(title) if title else F.lit(None).cast("string")).alias("c")).select(key, F.explode("c").alias("c"))
+        kind = pa.struct([("chunk_index", pa.int32()), ("total_chunks", pa.int32()), ("heading", pa.string()), ("level", pa.int32()), ("section_path", pa.string()), ("content", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("overlap_tokens", pa.int32()), ("estimated_tokens", pa.int32())])
+
+        def part(keys, at, rows):
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int32())), pa.array(rows, kind)], [name, "c"])
+
+        for batch in batches:
+            keys, texts, titles = batch.columns
+            at, rows, held = [], [], 0
+            for i in range(len(texts)):  # a text at a time: lists of a whole batch's texts and chunks take several times the batch
+                x = texts[i].as_py()
+                for row in fn(x, titles[i].as_py()) if x else []:
+                    at.append(i)
+                    rows.append(row)
+                    held += ROW + len(row["content"]) + len(row["section_path"])
+                    if held >= HELD:
+                        yield part(keys, at, rows)
+                        at, rows, held = [], [], 0
+            if rows:
+                yield part(keys, at, rows)
+            del batch, keys, texts, titles  # before the next one is read
+
+    made = given.mapInArrow(chunks, T.StructType([given.schema[0], T.StructField("c", T.DataType.fromDDL(CHUNK))]))
     ends = {"is_first": F.col("c.chunk_index") == 0, "is_last": F.col("c.chunk_index") == F.col("c.total_chunks") - 1}
     return made.select(key, F.format_string("%s_chunk_%04d", F.col(key).cast("string"), F.col("c.chunk_index")).alias("chunk_id"), "c.*", *[v.alias(k) for k, v in ends.items()])
 

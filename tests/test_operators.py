@@ -190,6 +190,31 @@ def test_chunks_counted_by_an_encoding(spark):
     assert chunking.with_documents(spark.createDataFrame([("d", 1), ("e", 2)], "doc_id string, k int"), docs, "doc_id", "markdown").where("markdown IS NULL").count() == 1
 
 
+def test_chunks_leave_before_the_batch_is_through(spark, tmp_path):
+    """What Python holds follows HELD and a document, not the batch; keys stay with their chunks across the parts."""
+    peak = tmp_path / "peak"
+
+    def count(text):  # in the worker
+        import tracemalloc
+
+        import pandas  # noqa: F401 (pyarrow imports these when it first needs them; they aren't to count)
+        import pyarrow.compute  # noqa: F401
+
+        if text.startswith("first"):
+            tracemalloc.start()
+        if text == "last":
+            peak.write_text(str(tracemalloc.get_traced_memory()[1]))
+            tracemalloc.stop()
+        return len(text) // 4
+
+    word = F.when(F.col("id") == 0, "first ").otherwise("words ")
+    docs = spark.range(501).coalesce(1).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 500, "last").otherwise(F.repeat(word, 2500)).alias("markdown"))  # a batch of 7.5 MB
+    got = chunking.token_chunks(docs, "doc_id", count=count)
+    r = got.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("total_chunks").alias("t"), F.min("content").alias("c"), F.sum(F.col("is_last").cast("int")).alias("last")).orderBy("doc_id").collect()
+    assert [x.doc_id for x in r] == list(range(501)) and all(x.n == x.t and x.last == 1 for x in r) and "first" in r[0].c and r[-1].c == "last"
+    assert int(peak.read_text()) < 3 << 20
+
+
 def test_store(spark, tmp_path):
     store = open_store(spark, {"root": str(tmp_path / "s")})
     t = datetime(2024, 1, 1)
